@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import quality
+from larder.llm import packing, quality
 from larder.llm.common import read
 
 
@@ -15,8 +15,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequences of at most 2048 tokens."""
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
 }
 
 #: Equal SQL for DuckDB, where SQL can express the operator.
