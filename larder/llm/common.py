@@ -50,3 +50,12 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 def let(value: Column, body) -> Column:
     """``body(v)`` where ``value`` is evaluated once for each row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Rows of 8-byte ids that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count shows at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

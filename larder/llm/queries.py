@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import packing, quality
+from larder.llm import near_dedup, packing, quality
 from larder.llm.common import read
 
 
@@ -15,6 +15,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequences of at most 2048 tokens."""
     return packing.packed(read(spark, sf_dir, "documents"))
@@ -22,6 +27,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_near_dedup": op2_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
 
