@@ -12,8 +12,9 @@
    bits allow are verified on the whole texts; connected components follow.
 4. Buckets whose members still belong to different components link those
    members with each other, so that no link is lost because a centre differed.
-   Members of one component are not paired, and the bits are compared inside the
-   join, so a group of copies never becomes all its pairs.
+   Texts with too much of their own to be similar to any other candidate leave
+   first (an exact bound), members of one component are not paired, and the bits
+   are compared inside the join, so a group of copies never becomes all its pairs.
 
 Defined results: words are split at white space after lower-casing; a text of
 fewer than five words has one shingle, all its words; texts without words (null
@@ -42,7 +43,7 @@ REGISTERS = 128
 #: Registers in a band; 25 bands of 5 find a pair of similarity 0.8 with probability over 0.9999.
 BAND = 5
 #: Differing low bits allowed before verification: 12.8 are expected at similarity 0.8, deviation 3.4.
-BITS_APART = 30
+BITS_APART = 27
 #: Words whose hashes a Python worker remembers, at most.
 REMEMBERED = 400_000
 
@@ -227,11 +228,36 @@ def candidate_links(members: DataFrame) -> DataFrame:
     return near.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
 
 
-def unjoined_links(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are still in different components, where the bits allow it."""
-    known = members.join(comps, "id")
+def mixed_buckets(known: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = staged(known.join(mixed, "key", "left_semi"), "mixed")
+    return known.join(mixed, "key", "left_semi")
+
+
+def alone(ids: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Of ``ids`` those that can be similar to no other of them.
+
+    Probability Jaccard is at most the common share of weight, so a text with
+    more than ``1 - similar`` of its weight in shingles that no other candidate
+    has is similar to none.  This is exact and needs one count of each shingle.
+    """
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i, t in zip(frame["id"], frame["text"], strict=True):
+                s, n = shingles(t)
+                yield pd.DataFrame({"id": i, "s": s.view(np.int64), "p": n / max(1, n.sum())})
+
+    each = needed(ids, texts).mapInPandas(spread, "id long, s long, p double")
+    own = each.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("p").alias("p")).where("n = 1")
+    return own.groupBy("id").agg(F.sum("p").alias("own")).where(F.col("own") > 1 - similar + 1e-9).select("id")
+
+
+def unjoined_links(members: DataFrame, comps: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Pairs of one bucket that are still in different components and may be similar."""
+    left = staged(mixed_buckets(members.join(comps, "id")), "mixed")
+    lone = staged(alone(staged(left.select("id").distinct(), "ids"), texts, similar), "lone")
+    left = staged(mixed_buckets(left.join(lone, "id", "left_anti")), "mixed")
     pair = left.alias("m").join(left.alias("c"), "key").where((F.col("m.comp") < F.col("c.comp")) & (apart("m", "c") <= BITS_APART))
     return pair.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
 
@@ -252,7 +278,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     first = staged(candidate_links(members), "links")
     edges = staged(checked(first, texts, similar), "near")
     comps = staged(components(reps.select("id"), edges), "comps")
-    more = staged(unjoined_links(members, comps).join(first, ["a", "b"], "left_anti"), "links")
+    more = staged(unjoined_links(members, comps, texts, similar).join(first, ["a", "b"], "left_anti"), "links")
     if not more.isEmpty():
         extra = staged(checked(more, texts, similar), "near")
         comps = staged(components(reps.select("id"), edges.union(extra)), "comps")
@@ -261,8 +287,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return out.select("doc_id", "class_id", "copy_of", F.expr("doc_id <=> class_id").alias("kept"))
 
 
+def needed(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) of the named texts; of several under one id the least."""
+    return staged(texts.join(small(ids), "id", "left_semi"), "texts").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def checked(links: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Verified links; of the texts only those that some link names are kept."""
-    named = staged(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct(), "named")
-    needed = staged(texts.join(small(named), "id", "left_semi"), "texts")
-    return verified(links, needed.groupBy("id").agg(F.min("text").alias("text")), similar)
+    """Verified links; of the texts only those that some link names are shuffled."""
+    named = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    return verified(links, needed(staged(named, "named"), texts), similar)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, licenses, near_dedup, packing, quality
+from larder.llm import decontaminate, licenses, near_dedup, packing, pii, quality
 from larder.llm.common import read
 
 
@@ -35,12 +35,18 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(read(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts, digest and spans."""
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_license_scan": op6_license_scan,
+    "op7_pii": op7_pii,
 }
 
 #: Equal SQL for DuckDB, where SQL can express the operator.
