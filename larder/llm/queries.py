@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, licenses, near_dedup, packing, pii, quality
-from larder.llm.common import read
+from larder.llm import decontaminate, licenses, near_dedup, packing, pii, quality, sharding
+from larder.llm.common import read, shared_dir
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in four arrivals and compacted; every row with its shard."""
+    docs = read(spark, sf_dir, "documents")
+    shards = sharding.ShardSet(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    for k in range(4):
+        shards.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k))
+        shards.compact()
+    shards.expire()
+    return sharding.placed(shards)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's license phrases and wordings."""
     return licenses.licenses(read(spark, sf_dir, "documents"))
@@ -45,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_sharding": op5_sharding,
     "op6_license_scan": op6_license_scan,
     "op7_pii": op7_pii,
 }
