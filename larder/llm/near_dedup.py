@@ -13,7 +13,7 @@
 4. Buckets whose members still belong to different components link those
    members with each other, so that no link is lost because a centre differed.
    Texts with too much of their own to be similar to any other candidate leave
-   first (an exact bound), members of one component are not paired, and the bits
+   first and pairs are bounded by their own parts (both exact), members of one component are not paired, and the bits
    are compared inside the join, so a group of copies never becomes all its pairs.
 
 Defined results: words are split at white space after lower-casing; a text of
@@ -234,31 +234,43 @@ def mixed_buckets(known: DataFrame) -> DataFrame:
     return known.join(mixed, "key", "left_semi")
 
 
-def alone(ids: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Of ``ids`` those that can be similar to no other of them.
-
-    Probability Jaccard is at most the common share of weight, so a text with
-    more than ``1 - similar`` of its weight in shingles that no other candidate
-    has is similar to none.  This is exact and needs one count of each shingle.
-    """
+def shares(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, own, total, flat): the weight in shingles that no other of ``ids`` has, all weight, and whether no weight is over 1."""
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i, t in zip(frame["id"], frame["text"], strict=True):
                 s, n = shingles(t)
-                yield pd.DataFrame({"id": i, "s": s.view(np.int64), "p": n / max(1, n.sum())})
+                yield pd.DataFrame({"id": i, "s": s.view(np.int64), "n": n, "total": n.sum(), "flat": bool((n == 1).all())})
+
+    each = staged(needed(ids, texts).mapInPandas(spread, "id long, s long, n long, total long, flat boolean"), "shingles")
+    one = each.groupBy("s").agg(F.count("*").alias("df"), F.min(F.struct("id", "n")).alias("x"))
+    own = one.where("df = 1").groupBy("x.id").agg(F.sum("x.n").alias("own"))
+    all_ids = each.groupBy("id").agg(F.max("total").alias("total"), F.min("flat").alias("flat"))
+    return all_ids.join(own, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"), "total", "flat")
 
-    each = needed(ids, texts).mapInPandas(spread, "id long, s long, p double")
-    own = each.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("p").alias("p")).where("n = 1")
-    return own.groupBy("id").agg(F.sum("p").alias("own")).where(F.col("own") > 1 - similar + 1e-9).select("id")
+
+def possible(a: str, b: str, similar: float) -> Column:
+    """Whether own weights leave room for the similarity; exact bounds.
+
+    Probability Jaccard is at most the common share of either text's weight.  For
+    texts without repeated shingles it is the Jaccard similarity, at most
+    m / (|a| + |b| - m) where m, the common part, is within what is not their own.
+    """
+    rest = lambda x: F.col(f"{x}.total") - F.col(f"{x}.own")
+    m = F.least(rest(a), rest(b))
+    some = (rest(a) >= (similar - 1e-9) * F.col(f"{a}.total")) & (rest(b) >= (similar - 1e-9) * F.col(f"{b}.total"))
+    sets = m >= (similar - 1e-9) * (F.col(f"{a}.total") + F.col(f"{b}.total") - m)
+    return some & (sets | ~F.col(f"{a}.flat") | ~F.col(f"{b}.flat"))
 
 
 def unjoined_links(members: DataFrame, comps: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Pairs of one bucket that are still in different components and may be similar."""
     left = staged(mixed_buckets(members.join(comps, "id")), "mixed")
-    lone = staged(alone(staged(left.select("id").distinct(), "ids"), texts, similar), "lone")
-    left = staged(mixed_buckets(left.join(lone, "id", "left_anti")), "mixed")
-    pair = left.alias("m").join(left.alias("c"), "key").where((F.col("m.comp") < F.col("c.comp")) & (apart("m", "c") <= BITS_APART))
+    own = staged(shares(staged(left.select("id").distinct(), "ids"), texts), "shares")
+    left = left.join(own, "id")
+    left = staged(mixed_buckets(left.where(F.col("own") <= (1 - similar + 1e-9) * F.col("total"))), "mixed")
+    pair = left.alias("m").join(left.alias("c"), "key").where((F.col("m.comp") < F.col("c.comp")) & (apart("m", "c") <= BITS_APART) & possible("m", "c", similar))
     return pair.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
 
 
