@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, licenses, near_dedup, packing, pii, quality, sharding
+from larder.llm import decontaminate, html_extract, licenses, near_dedup, packing, pii, quality, sharding, substring_dedup, warc
 from larder.llm.common import read, shared_dir
 
 
@@ -53,6 +53,23 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that several documents have."""
+    return substring_dedup.passages(read(spark, sf_dir, "documents"))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two captures of every page; each not-modified answer with the response that it stands for."""
+    found = warc.resolved(warc.page_captures(read(spark, sf_dir, "pages")))
+    merged = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
+    return found.select("page_id", "record_id", "canonical_url", F.unix_timestamp("date").alias("date"), "status", "verdict", "source_id", F.unix_timestamp("source_date").alias("source_date"), "digest", merged.alias("headers"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
@@ -61,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_license_scan": op6_license_scan,
     "op7_pii": op7_pii,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 #: Equal SQL for DuckDB, where SQL can express the operator.
