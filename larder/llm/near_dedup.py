@@ -34,6 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.llm.common import small, staged, text_of
 
@@ -308,3 +309,18 @@ def checked(links: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Verified links; of the texts only those that some link names are shuffled."""
     named = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     return verified(links, needed(staged(named, "named"), texts), similar)
+
+
+def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` that stand for their near-duplicate class, with all their columns.
+
+    Rows without an id stay where no row of their class has one.  Of rows that
+    repeat an id and its text one stays; ids are counted to find them, so that
+    only such rows are shuffled.
+    """
+    ids = near_duplicates(docs, similar).where("kept").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again"))
+    ids = staged(ids, "kept")
+    kept = docs.join(small(ids), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
+    order = Window.partitionBy("_id", F.xxhash64(text_of(kept))).orderBy(F.lit(1))
+    again = kept.where("_again").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return kept.where("not _again").union(again).drop("_id", "_again")
