@@ -101,5 +101,5 @@ def repeated(suffixes: DataFrame, name: str) -> DataFrame:
     ordered = suffixes.select("key", "who", "doc", "pos").repartitionByRange("key", "who", "doc", "pos").sortWithinPartitions("key", "who")
     found = staged(ordered.mapInPandas(compare, schema), name)
     ends = found.where("edge").groupBy("key").agg(F.min("who").alias("low"), F.max("who").alias("high"))
-    settled = found.where("edge").join(F.broadcast(ends.where("low <> high")), "key")
-    return found.where("not edge").select("key", "who", "doc", "pos", "first").union(settled.select("key", "who", "doc", "pos", F.col("low").alias("first")))
+    settled = found.join(F.broadcast(ends), "key", "left").where("not edge or low <> high")
+    return settled.select("key", "who", "doc", "pos", F.when(F.col("edge"), F.col("low")).otherwise(F.col("first")).alias("first"))
