@@ -113,17 +113,17 @@ def macro_match(i: Item, goal: Column) -> Column:
     total = i.protein * d(4) + i.carbs * d(4) + i.fat * d(9)
     shares = {"lose-fat": (0.35, 0.35, 0.30), "gain-muscle": (0.35, 0.45, 0.20)}
     want = lambda k: F.when(goal == "lose-fat", d(shares["lose-fat"][k])).when(goal == "gain-muscle", d(shares["gain-muscle"][k])).otherwise(d((0.30, 0.40, 0.30)[k]))
-    off = sum((F.abs(x * d(e) / total - want(k)) for k, (x, e) in enumerate(((i.protein, 4), (i.carbs, 4), (i.fat, 9)))), d(0))
+    off = sum((F.abs(F.try_divide(x * d(e), total) - want(k)) for k, (x, e) in enumerate(((i.protein, 4), (i.carbs, 4), (i.fat, 9)))), d(0))
     return F.when(total <= 0, d(0)).otherwise(half_up(F.greatest(d(0), upto(d(10) - off * d(10), 10))))
 
 
 def health_parts(i: Item) -> dict[str, Column]:
     """Protein density, fiber density, fat share and energy; items without energy have ratios of 0."""
-    ratio = lambda x: F.when(i.kcal <= 0, d(0)).otherwise(x)
-    share = ratio(i.fat * d(9) / i.kcal)
+    ratio = lambda x: F.when(i.kcal <= 0, d(0)).otherwise(F.try_divide(x, i.kcal))
+    share = ratio(i.fat * d(9))
     return {
-        "protein_part": half_up(F.greatest(d(0), upto(ratio(i.protein / i.kcal * d(100)) / d(8) * d(15), 15))),
-        "fiber_part": half_up(F.greatest(d(0), upto(ratio(i.fiber / i.kcal * d(100)) / d(2) * d(10), 10))),
+        "protein_part": half_up(F.greatest(d(0), upto(ratio(i.protein) * d(100) / d(8) * d(15), 15))),
+        "fiber_part": half_up(F.greatest(d(0), upto(ratio(i.fiber) * d(100) / d(2) * d(10), 10))),
         "fat_part": F.when(share <= 0.25, d(5)).when(share <= 0.35, d(3)).when(share <= 0.45, d(1)).otherwise(d(0)),
         "energy_part": F.when(i.kcal <= 500, d(10)).when(i.kcal <= 650, d(8)).when(i.kcal <= 800, d(5)).when(i.kcal <= 950, d(2)).otherwise(d(0)),
     }

@@ -31,7 +31,7 @@ def estimated_menu(cuisine: Column) -> Column:
 def venue_numbers(menu: Column) -> dict[str, Column]:
     """Averages and labels of a nested menu; an empty one has defaults."""
     n = F.size(menu).cast("double")
-    mean = lambda k: F.aggregate(menu, F.lit(0.0), lambda a, x: a + F.coalesce(x[k], F.lit(0.0))) / n
+    mean = lambda k: F.aggregate(menu, F.lit(0.0), lambda a, x: a + F.coalesce(x[k], F.lit(0.0))) / F.greatest(n, F.lit(1.0))
     some = n > 0
     kcal = mean("calories")
     health = F.lit(60.0) + F.when(kcal <= 650, 15.0).otherwise(0.0) + F.when(mean("fiber") >= 6, 15.0).otherwise(0.0) + F.when(mean("fat") <= 25, 10.0).otherwise(0.0)

@@ -41,7 +41,7 @@ def menu_health(venues: DataFrame) -> DataFrame:
 
     def average(name: str) -> Column:
         total = F.aggregate(F.transform("menu", lambda x: N.health_parts(N.Item.of(x))[name]), F.lit(0.0), lambda a, b: a + b)
-        return F.when(n > 0, total / n).otherwise(F.lit(0.0))
+        return total / F.greatest(n, F.lit(1.0))
 
     parts = {k: average(k) for k in ("protein_part", "fiber_part", "fat_part", "energy_part")}
     df = venues.withColumn("_p", F.struct(*(c.alias(k) for k, c in parts.items())))
@@ -52,7 +52,7 @@ def menu_health(venues: DataFrame) -> DataFrame:
 def matched(venues: DataFrame, profile: N.Profile) -> DataFrame:
     """Adds items, best, health, the parts of the match score, and the score itself."""
     df = menu_health(best_items(scored_items(venues, profile), profile))
-    mean = F.aggregate("best", F.lit(0.0), lambda a, x: a + x["score"]) / F.size("best").cast("double")
+    mean = F.aggregate("best", F.lit(0.0), lambda a, x: a + x["score"]) / F.greatest(F.size("best"), F.lit(1)).cast("double")
     meal = N.value(profile.meal_type)
     df = df.withColumns({
         "menu_part": F.when(F.size("best") > 0, F.least(F.lit(50.0), mean * F.lit(0.5))).otherwise(F.lit(0.0)),
