@@ -286,15 +286,16 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     groups = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
     reps = sk.join(groups.withColumn("doc_id", F.col("id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"])
     reps = staged(reps.select("id", "bands", "b1", "b2"), "reps")
+    ids = reps.select("id").distinct()
     members = reps.select("id", F.explode("bands").alias("key"), "b1", "b2")
     texts = numbered.select(F.col("doc_id").alias("id"), "text")
     first = staged(candidate_links(members), "links")
     edges = staged(checked(first, texts, similar), "near")
-    comps = staged(components(reps.select("id"), edges), "comps")
+    comps = staged(components(ids, edges), "comps")
     more = staged(unjoined_links(members, comps, texts, similar).join(first, ["a", "b"], "left_anti"), "links")
     if not more.isEmpty():
         extra = staged(checked(more, texts, similar), "near")
-        comps = staged(components(reps.select("id"), edges.union(extra)), "comps")
+        comps = staged(components(ids, edges.union(extra)), "comps")
     classes = groups.join(comps, "id", "left").select("h1", "h2", F.col("id").alias("copy_of"), F.coalesce("comp", "id").alias("class_id"))
     out = sk.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"])
     return out.select("doc_id", "class_id", "copy_of", F.expr("doc_id <=> class_id").alias("kept"))
