@@ -5,9 +5,12 @@ and moves on by a random bit that depends on the step and the word.  Two strings
 at a small edit distance emit strings at a small Hamming distance, so sampling a
 few emitted places is a locality-sensitive hash for edit distance.  Each item is
 embedded at anchors along its length, each word of each text starts a window,
-and several walks with several samples each are repeated to reach the target
-recall.  A candidate is verified by the exact least edit distance, in words,
-between the whole item and any part of the text around it.
+and several walks with several samples each are repeated.  The walks alone miss
+short items with edits, so each item is also cut into one piece more than its
+allowed edits: a part of a text within them holds a piece unchanged, and every
+occurrence of a piece is a candidate, so no match is missed.  A candidate is
+verified by the exact least edit distance, in words, between the whole item and
+any part of the text around it.
 
 The benchmark is read in blocks of bounded size; a block's keys are broadcast and
 every text is scanned against them, without a shuffle and without pairs.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +46,8 @@ WALKS = 2
 SAMPLES, PLACES = 3, 4
 #: Distance of an item's anchors, in words.
 ANCHOR = 4
+#: The class of the pieces' keys, beside the spans.
+PIECES = 0
 #: An item block's bounds.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 REMEMBERED = 400_000
@@ -108,18 +114,48 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, spans: list[int]) -> Iterat
                 yield s, mix(key + _U(i + 1))
 
 
+def allowed(words: np.ndarray) -> int:
+    """The most edits of an item."""
+    return int(EDITS * len(words))
+
+
+def pieces_of(words: np.ndarray) -> list[tuple[int, int]]:
+    """(offset, length) of one piece more than the item's allowed edits; an unchanged one is left by any such edits."""
+    n = allowed(words) + 1
+    bounds = [len(words) * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def piece_keys(words: np.ndarray, n: int, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, a key for each of the first n places) for every length of a piece."""
+    key = np.zeros(n, dtype=np.uint64)
+    for i in range(max(lengths, default=0)):
+        key *= _MUL
+        key ^= words[i : i + n]
+        key ^= key >> _U(29)
+        if i + 1 in lengths:
+            yield i + 1, mix(key + _U(i + 1))
+
+
 @dataclass
 class Index:
-    """A block of items: their words, and keys that lead to (item, anchor)."""
+    """A block of items: their words, and keys that lead to (item, anchor); those of pieces are kept under ``PIECES``."""
 
     ids: list
     words: list[np.ndarray]
     spans: list[int]
+    lengths: list[int] = field(default_factory=list)
     keys: dict[int, np.ndarray] = field(default_factory=dict)
     owner: dict[int, np.ndarray] = field(default_factory=dict)
     anchor: dict[int, np.ndarray] = field(default_factory=dict)
     seen: dict[int, np.ndarray] = field(default_factory=dict)
 
+    def add(self, s: int, keys: np.ndarray, owner: np.ndarray, anchor: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys[s], self.owner[s], self.anchor[s] = keys[order], owner[order], anchor[order]
+        self.seen[s] = np.zeros(1 << 22, dtype=bool)
+        self.seen[s][self.keys[s] >> _U(42)] = True
+
 
 def build_index(items: list[tuple[object, str | None]]) -> Index:
     kept = [(i, w) for i, t in items if len(w := word_hashes(t or "")) >= LEAST_WORDS]
@@ -138,16 +174,25 @@ def build_index(items: list[tuple[object, str | None]]) -> Index:
             text += [w, pad]
             base += len(w) + len(pad)
         found = [key for _, key in walk_keys(np.concatenate(text), np.array(starts), [s])]
-        keys = np.concatenate(found)
-        order = np.argsort(keys, kind="stable")
-        index.keys[s] = keys[order]
-        index.owner[s] = np.tile(np.array(owner), len(found))[order]
-        index.anchor[s] = np.tile(np.array(anchor), len(found))[order]
-        index.seen[s] = np.zeros(1 << 22, dtype=bool)
-        index.seen[s][index.keys[s] >> _U(42)] = True
+        index.add(s, np.concatenate(found), np.tile(np.array(owner), len(found)), np.tile(np.array(anchor), len(found)))
+    if kept:
+        add_pieces(index)
     return index
 
 
+def add_pieces(index: Index) -> None:
+    places = np.array([(k, at, n) for k, w in enumerate(index.words) for at, n in pieces_of(w)])
+    owner, anchor, length = places.T
+    index.lengths = sorted(set(length.tolist()))
+    base = np.cumsum([0] + [len(w) for w in index.words])
+    text = np.concatenate([*index.words, np.zeros(max(index.lengths), dtype=np.uint64)])
+    keys = np.zeros(len(places), dtype=np.uint64)
+    for n, key in piece_keys(text, int(base[-1]), index.lengths):
+        of = length == n
+        keys[of] = key[(base[owner] + anchor)[of]]
+    index.add(PIECES, keys, owner, anchor)
+
+
 def place_of(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the part of ``window`` nearest to ``item``, if within ``most`` edits."""
     if len(set(item.tolist()).difference(window.tolist())) > most:
@@ -182,7 +227,8 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     for lo in range(0, len(words) - len(pad), CHUNK):
         hi = min(lo + CHUNK, len(words) - len(pad))
         part = words[lo : min(hi + 2 * max(SPANS) + 1, len(words))]
-        for s, key in walk_keys(part, np.arange(hi - lo), index.spans):
+        pieces = ((PIECES, key) for _, key in piece_keys(part, hi - lo, index.lengths))
+        for s, key in chain(walk_keys(part, np.arange(hi - lo), index.spans), pieces):
             hit = np.flatnonzero(index.seen[s][key >> _U(42)])
             if not len(hit):
                 continue
@@ -195,7 +241,7 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
                         continue
                     tried.add((t, k, at))
                     item = index.words[k]
-                    most = int(EDITS * len(item))
+                    most = allowed(item)
                     lo_w = max(0, at - most)
                     if found := place_of(item, own[t][lo_w : max(0, at + len(item) + most)], most):
                         now = (found[0], lo_w + found[1], lo_w + found[2])

@@ -109,6 +109,30 @@ def test_decontamination_finds_edited_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(12)} and all(r["edits"] == 2 for r in found)
 
 
+def test_decontamination_finds_short_items_at_the_most_edits():
+    """Against the least distance to the whole text, of all texts and items."""
+    rng = random.Random(5)
+    items, texts = [], []
+    for n in (4, 5, 7, 9, 10, 12, 14, 15, 16, 17, 20, 30):
+        for _ in range(20):
+            words = [f"w{rng.randrange(400)}" for _ in range(n)]
+            items.append((len(items), " ".join(words)))
+            for _ in range(n // 5):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choice([[], [f"x{rng.randrange(400)}"]])
+            around = [" ".join(f"w{rng.randrange(400)}" for _ in range(40)) for _ in range(2)]
+            texts.append(" ".join([around[0], *words, around[1]]))
+    index = decontaminate.build_index(items)
+    found = {(t, k): v for t, k, *v in decontaminate.matches(index, texts)}
+    for t, text_ in enumerate(texts):
+        whole = decontaminate.word_hashes(text_)
+        for k in range(len(items)):
+            item = index.words[k]
+            place = decontaminate.place_of(item, whole, int(decontaminate.EDITS * len(item)))
+            assert (place is None) == ((t, k) not in found) and (place is None or place[0] == found[t, k][0])
+    assert all((t, t) in found for t in range(len(texts)))
+
+
 def test_packing_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
 
