@@ -111,7 +111,7 @@ def proposals(df: DataFrame) -> DataFrame:
         "*",
         spans_of(t, EMAIL, "email", t.contains("@")).alias("c_email"),
         spans_of(t, IP, "ip", some(r"[0-9]\.[0-9]")).alias("c_ip"),
-        spans_of(j, DIGITS, "card", j.rlike(f"[0-9{JOIN}]{{13}}")).alias("c_card"),
+        spans_of(j, DIGITS, "card", j.rlike(f"[0-9{JOIN}]{{8}}")).alias("c_card"),
         spans_of(t, PHONE, "phone", t.contains("+")).alias("c_phone"),
         spans_of(t, SECRET, "secret", some("[A-Za-z0-9_+/-]{20}")).alias("c_secret"),
         spans_of(t, LOCAL_PHONE, "local_phone", some("[0-9][ .-][0-9]{4}")).alias("c_local"),

@@ -208,6 +208,16 @@ PAGE = """<!DOCTYPE html><head><title>T</title><style>p{}</style><script>var a="
 <div class="ad">Buy</div><article><h1>Head &amp; line</h1><p><b>Bold<br>text<p>1 &lt; 2 &amp more&nbsp;x</p><aside>side</aside><div class="comments"><p>me too</div></article><footer>&copy; h</footer>"""
 
 
+def test_pii_finds_short_accounts_alone(spark):
+    model = pii.fitted(spark)
+    texts = ["bank account no 1234567890 and", "account 12345678", "konto 123 456 789 and", "order 123456789 and", "in 1999 to 2003"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    proposed = {r[0]: [x["s"].replace(pii.JOIN, " ") for x in r[1]] for r in pii.proposals(docs.withColumnRenamed("text", "t")).select("doc_id", "more").collect()}
+    assert proposed == {0: ["1234567890"], 1: ["12345678"], 2: ["123 456 789"], 3: ["123456789"], 4: []}
+    assert pii.find(docs, model).where("doc_id = 0").first()["spans"] == "account:16:26"
+    assert pii.redacted(docs, model).where("doc_id = 0").first()["text"] == "bank account no <account> and"
+
+
 def test_html(spark):
     boiler = "Read this long notice that every page of the host carries word for word so that readers know what they agree to when they stay here today"
     rows = [(1, "http://h.org/1", PAGE), (2, "http://h.org/2", None), (3, "http://h.org/3", f"<div>{text(1, 40)}</div><div>{boiler}</div>"), (4, "http://h.org/4", f"<div>{boiler}</div><div>{text(2, 40)}</div>"), (5, "http://o.org/", f"<div>{boiler}</div>")]
