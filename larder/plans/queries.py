@@ -94,7 +94,7 @@ def clean_venues(spark, sf):
 @query
 def first_wins_dedup(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_seq"), F.col("o_custkey").cast("string").alias("id"), "o_orderstatus", "o_totalprice")
-    return features.first_of(rows, ["id"]).orderBy("row_seq").limit(5000)
+    return features.first_of(rows, ["id"])
 
 
 @query
