@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators import documents
@@ -27,13 +29,63 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 5, key: str = "do
     return listed.select((F.col("at") + 1).alias("rank"), F.col(f"x.{key}").alias(key), (-F.col("x.col1")).alias("similarity_score"))
 
 
+#: Queries of a broadcast block, and vectors that are scored at once.
+BLOCK_QUERIES, SCORED_ROWS = 1024, 1024
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_ord", vector: str = "embedding") -> DataFrame:
+    """The k best rows for each row of ``queries`` (same columns): query_id, rank, key and score.
+
+    Every block of queries is broadcast and every task keeps k rows a query.
+    Products are added in double precision, left to right.  Keys are whole
+    numbers; vectors of another length than the query's have no score.
+    """
+    queries = queries.where(F.col(vector).isNotNull())
+    n = max(1, -(-queries.count() // BLOCK_QUERIES))
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    out = None
+    for b in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b)
+        asked: dict[int, list] = {}
+        for r in part.select(key, F.col(vector).cast("array<double>").alias("v")).toLocalIterator():
+            asked.setdefault(len(r["v"]), []).append((r[key], r["v"]))
+        sent = vectors.sparkSession.sparkContext.broadcast({d: (np.array([i for i, _ in q]), np.array([v for _, v in q])) for d, q in asked.items()})
+
+        def scan(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for frame in frames:
+                for lo in range(0, len(frame), SCORED_ROWS):
+                    piece = frame.iloc[lo : lo + SCORED_ROWS]
+                    length = piece["v"].map(len).to_numpy()
+                    for d, (_, wanted) in sent.value.items():
+                        if not len(of := np.flatnonzero(length == d)):
+                            continue
+                        v, keys = np.stack(piece["v"].iloc[of].to_list()), piece["k"].to_numpy()[of]
+                        scores = np.zeros((len(of), len(wanted)))
+                        for i in range(d):
+                            scores += v[:, i, None] * wanted[:, i]
+                        held = np.broadcast_to(keys[:, None], scores.shape)
+                        if d in best:
+                            held, scores = np.concatenate([best[d][0], held]), np.concatenate([best[d][1], scores])
+                        top = np.lexsort((held, -scores), axis=0)[:k]
+                        best[d] = np.take_along_axis(held, top, 0), np.take_along_axis(scores, top, 0)
+            for d, (held, scores) in best.items():
+                ids = np.broadcast_to(sent.value[d][0], held.shape)
+                yield pd.DataFrame({"query_id": ids.ravel(), key: held.ravel(), "similarity_score": scores.ravel()})
+
+        found = rows.mapInPandas(scan, f"query_id long, `{key}` long, similarity_score double")
+        out = found if out is None else out.union(found)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), key))
+    return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", key, "similarity_score")
+
+
 def shape(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.agg(F.count("*").alias("n_docs"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim"))
 
 
 def retrieved(best: DataFrame, docs: DataFrame, venue_tables: Sequence[DataFrame], key: str = "doc_ord") -> DataFrame:
     """Ranked results with their documents and the venue row of the first table that has it."""
-    out = F.broadcast(best).join(docs, key)
+    out = best.join(docs, key)
     found = []
     for i, table in enumerate(venue_tables):
         row = table.select(F.col("id").alias(f"_id{i}"), F.struct(*table.columns).alias(f"_row{i}"))
