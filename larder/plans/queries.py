@@ -116,7 +116,7 @@ def ip_topk(spark, sf):
 
 @query
 def retrieve_join(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ord"), F.col("doc_id").cast("string").alias("restaurant_id"), F.substring("text", 1, 800).alias("document_text"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ord"), F.col("doc_id").cast("string").alias("restaurant_id"), F.col("text").alias("document_text"))
     vecs = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_ord")
     rows = views.venues(spark, sf).select("id", "name")
     late = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))

@@ -30,3 +30,10 @@ def test_every_query_vector_is_searched(spark, monkeypatch):
         docs = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()}
         want = {q: [x for x in best(q, k) if name == "ip_topk" or x[1] in docs] for q in every if q % 20 == 0}
         assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+
+
+def test_retrieved_texts_are_whole(spark):
+    whole = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    found = QUERIES["retrieve_join"](spark, SMALL).collect()
+    assert all(r["document_text"] == whole[r["doc_ord"]] for r in found)
+    assert any(len(r["document_text"]) > 800 for r in found)
