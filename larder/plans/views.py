@@ -110,7 +110,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as generated samples, with planted faults by turn."""
     c = table(spark, sf_dir, "conversations")
     k = F.col("conv_id") + F.col("turn")
-    body = F.substring(F.coalesce("text", F.lit("")), 1, 1500)
+    body = F.coalesce("text", F.lit(""))
     name = F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("Venue "), (F.col("conv_id") % 9).cast("string")))
     menu = F.when(k % 11 == 0, F.lit("")).otherwise(F.lit("Recommended Menu:\nDish\n\n"))
     reason = F.when(k % 5 == 0, F.lit("Recommended Reason:\nIt fits the asked-for nutrition well enough to be named here.")).when(k % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("Recommended Reason:\n"), body))

@@ -37,3 +37,11 @@ def test_retrieved_texts_are_whole(spark):
     found = QUERIES["retrieve_join"](spark, SMALL).collect()
     assert all(r["document_text"] == whole[r["doc_ord"]] for r in found)
     assert any(len(r["document_text"]) > 800 for r in found)
+
+
+def test_filtered_reasons_are_whole(spark, tmp_path):
+    long = "word " * 500 + "end"
+    spark.createDataFrame([(1, 0, "user", long)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    row = QUERIES["dataset_filter"](spark, str(tmp_path)).first()
+    assert (row["reason"], row["reject_reason"]) == (long, "invalid_reason_length")
+    assert QUERIES["filter_report"](spark, str(tmp_path)).first()["invalid_reason_length"] == 1
