@@ -20,11 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where a session names none (tests, a single machine) a temporary
-    folder is chosen and recorded in the session for later calls.
+    Only where a session on one machine names none (tests) a temporary folder is
+    chosen and recorded in the session for later calls; on a cluster executors
+    would not see each other's files there, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -42,6 +45,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 8 << 20
+
+
+def arrow_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for a worker; a smaller setting stays as it is."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return df
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column as a string; null counts as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
@@ -53,7 +69,7 @@ def let(value: Column, body) -> Column:
 
 
 #: Rows of 8-byte ids that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

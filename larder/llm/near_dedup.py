@@ -6,37 +6,40 @@
    once it comes later than every register's first arrival.  A register's
    earliest shingle agrees between two texts with probability their probability
    Jaccard.  A sketch holds one hash per band of registers and 128 low bits.
-2. Exact copies (equal words) fold into one representative by a pre-aggregated
-   ``min``; only representatives go on.
-3. In each band bucket every member is linked to one centre; links that the low
-   bits allow are verified on the whole texts; connected components follow.
-4. Buckets whose members still belong to different components link those
-   members with each other, so that no link is lost because a centre differed.
-   Texts with too much of their own to be similar to any other candidate leave
-   first and pairs are bounded by their own parts (both exact), members of one component are not paired, and the bits
-   are compared inside the join, so a group of copies never becomes all its pairs.
+2. Exact copies (equal words) fold into one node by a pre-aggregated ``min``; a
+   node stands for a text, whatever ids it has, and only nodes go on.
+3. In each band bucket every member is linked to the bucket's centre, the member
+   with most company in all its buckets.  A group of copies so has the same few
+   centres in all its buckets and few links a member; links that the low bits
+   allow are verified on the whole texts; connected components follow.
+4. Where the members under one centre still belong to several components, those
+   outside the largest one are compared with all the others, so that no link is
+   lost because a centre was too far away.  They are dealt into cells of bounded
+   size; a cell counts common shingles exactly and returns one link for each
+   member and component, so a group of copies never becomes all its pairs.
 
 Defined results: words are split at white space after lower-casing; a text of
 fewer than five words has one shingle, all its words; texts without words (null
-too) are copies of one another; repeated rows and ids are members of one class;
-extra columns are ignored.
-Rows without an id join a class whose other rows have one, or else have a null
-class.  An id that names several texts stands for the least of them.
+too) are copies of one another; repeated rows are members of one class; an id
+that names several texts has a row for each of them, each with its text's class;
+extra columns are ignored.  Rows without an id are linked like all others; a
+class has the least id of its rows, null only where none of them has one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import small, staged, text_of
+from larder.llm import words
+from larder.llm.common import arrow_batches, small, staged, text_of
+from larder.llm.words import BASE, mix
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -45,50 +48,28 @@ REGISTERS = 128
 BAND = 5
 #: Differing low bits allowed before verification: 12.8 are expected at similarity 0.8, deviation 3.4.
 BITS_APART = 27
-#: Words whose hashes a Python worker remembers, at most.
-REMEMBERED = 400_000
+#: Shingles of a cell's blocks, about.
+CELL = 100_000
+#: Shingles that advance together in a sketch.
+TOGETHER = 1 << 18
 
 _U = np.uint64
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every output bit depends on every input bit."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_HASH = WordHashes()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = _WORDS.findall(text.lower())
-    return np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def windows(words: np.ndarray, k: int) -> np.ndarray:
+def windows(tokens: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k words; for a shorter text one for all its words."""
-    k = min(k, len(words))
+    k = min(k, len(tokens))
     if not k:
-        return words
-    out = np.zeros(len(words) - k + 1, dtype=np.uint64)
+        return tokens
+    out = np.zeros(len(tokens) - k + 1, dtype=np.uint64)
     for i in range(k):
-        out = mix(out * _U(0x9E3779B97F4A7C15) + words[i : len(words) - k + 1 + i])
+        out = mix(out * _U(BASE) + tokens[i : len(tokens) - k + 1 + i])
     return out
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles' hashes in order, and their counts."""
-    return np.unique(windows(word_hashes(text), SHINGLE), return_counts=True)
+    return np.unique(windows(words.hashed([text])[0], SHINGLE), return_counts=True)
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -111,66 +92,58 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def registers(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs: int, m: int = REGISTERS) -> np.ndarray:
     """The earliest element in each register of each document, as [docs, m] hashes.
 
-    ``doc`` names each element's document.  All elements advance together, one
+    ``doc`` names each element's document.  Elements advance together, one
     arrival a round, and leave once no register of their document can change.
     """
     first = np.full(docs * m, np.inf)
     who = np.zeros(docs * m, dtype=np.uint64)
-    at = np.zeros(len(elements))
-    rate = weights.astype(float)
-    step = 0
-    while len(elements):
-        r = mix(elements + _U((step * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % 2**64))
-        at = at - np.log1p(-(r >> _U(11)).astype(float) * 2.0**-53) / rate
-        place = doc * m + (mix(r) % _U(m)).astype(np.int64)
-        live = at < first[place]
-        np.minimum.at(first, place[live], at[live])
-        won = live & (at == first[place])
-        who[place[won]] = elements[won]
-        last = first.reshape(docs, m).max(axis=1)
-        go = at < last[doc]
-        elements, rate, doc, at = elements[go], rate[go], doc[go], at[go]
-        step += 1
+    for lo in range(0, len(elements), TOGETHER):
+        e, rate, of = elements[lo : lo + TOGETHER], weights[lo : lo + TOGETHER].astype(float), doc[lo : lo + TOGETHER]
+        at = np.zeros(len(e))
+        step = 0
+        while len(e):
+            r = mix(e + _U((step * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % 2**64))
+            at = at - np.log1p(-(r >> _U(11)).astype(float) * 2.0**-53) / rate
+            place = of * m + (mix(r) % _U(m)).astype(np.int64)
+            live = at < first[place]
+            np.minimum.at(first, place[live], at[live])
+            won = live & (at == first[place])
+            who[place[won]] = e[won]
+            go = at < first.reshape(docs, m).max(axis=1)[of]
+            e, rate, of, at = e[go], rate[go], of[go], at[go]
+            step += 1
     return who.reshape(docs, m)
 
 
-SKETCH = "doc_id long, h1 long, h2 long, bands array<long>, b1 long, b2 long"
+SKETCH = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("u", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("b1", pa.int64()), ("b2", pa.int64()), ("size", pa.int64())])
 
 
-def bounded(frame: pd.DataFrame, rows: int = 1024, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Consecutive parts of a batch that stay small even where texts are very long."""
-    size = frame["text"].str.len().to_numpy()
-    lo, held = 0, 0
-    for i, n in enumerate(size):
-        if i > lo and (i - lo >= rows or held + n > chars):
-            yield frame.iloc[lo:i]
-            lo, held = i, 0
-        held += n
-    if lo < len(frame):
-        yield frame.iloc[lo:]
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, t, u): t and u are two hashes that name a text wherever it stands."""
+    text = text_of(docs)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u"))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """One sketch for each document."""
+def sketches(texts: DataFrame) -> DataFrame:
+    """One sketch for each row of :func:`keyed`."""
 
-    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in bounded(frame):
-                words = [word_hashes(t) for t in part["text"]]
-                exact = [xxhash.xxh3_128_intdigest(w.tobytes()) for w in words]
-                parts = [np.unique(windows(w, SHINGLE), return_counts=True) for w in words]
-                doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-                sig = registers(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), doc, len(parts))
-                band = np.zeros((len(parts), REGISTERS // BAND), dtype=np.uint64)
-                for i in range(BAND):
-                    band = mix(band * _U(0x9E3779B97F4A7C15) + sig[:, i : band.shape[1] * BAND : BAND])
-                band = mix(band + np.arange(band.shape[1], dtype=np.uint64))
-                bits = np.packbits((mix(sig) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
-                mask = 2**64 - 1
-                both = np.array([[h >> 64, h & mask] for h in exact], dtype=np.uint64).view(np.int64)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h1": both[:, 0], "h2": both[:, 1], "bands": list(band.view(np.int64)), "b1": bits[:, 0], "b2": bits[:, 1]}).astype({"doc_id": "Int64"})
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.parts(batches):
+            tokens, n = words.hashed(part.column("text").to_pylist())
+            each = np.split(tokens, np.cumsum(n))[:-1]
+            exact = np.array([divmod(xxhash.xxh3_128_intdigest(w.tobytes()), 1 << 64) for w in each], dtype=np.uint64).view(np.int64)
+            found = [np.unique(windows(w, SHINGLE), return_counts=True) for w in each]
+            doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            sig = registers(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), doc, len(found))
+            band = np.zeros((len(found), REGISTERS // BAND), dtype=np.uint64)
+            for i in range(BAND):
+                band = mix(band * _U(BASE) + sig[:, i : band.shape[1] * BAND : BAND])
+            band = mix(band + np.arange(band.shape[1], dtype=np.uint64))
+            bits = np.packbits((mix(sig) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * band.shape[1], pa.array(band.view(np.int64).ravel()))
+            yield words.batch(SKETCH, doc_id=part.column("doc_id"), t=part.column("t"), u=part.column("u"), h1=exact[:, 0], h2=exact[:, 1], bands=lists, b1=bits[:, 0], b2=bits[:, 1], size=[len(f[0]) for f in found])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(sketch, SKETCH)
+    return arrow_batches(texts.select("doc_id", "t", "u", "text")).mapInArrow(sketch, "doc_id long, t long, u long, h1 long, h2 long, bands array<long>, b1 long, b2 long, size long")
 
 
 def apart(a: str, b: str) -> Column:
@@ -179,21 +152,21 @@ def apart(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough; texts has a row for each representative."""
+    """The pairs (a, b) whose whole texts are similar enough; texts has a row for each node."""
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, tuple] = (None, ())
-        for frame in frames:
+        for part in words.parts(batches, "tb", rows=128):
             good = []
-            for a, ta, tb in zip(frame["a"], frame["ta"], frame["tb"], strict=True):
+            for a, ta, tb in zip(part.column("a").to_pylist(), part.column("ta"), part.column("tb"), strict=True):
                 if last[0] != a:
-                    last = (a, shingles(ta))
-                good.append(probability_jaccard(last[1], shingles(tb)) >= similar - 1e-9)
-            yield frame.loc[good, ["a", "b"]]
+                    last = (a, shingles(ta.as_py()))
+                good.append(probability_jaccard(last[1], shingles(tb.as_py())) >= similar - 1e-9)
+            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
+    return arrow_batches(both.select("a", "b", "ta", "tb")).mapInArrow(check, "a long, b long")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -217,111 +190,169 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(linked, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def candidate_links(members: DataFrame) -> DataFrame:
-    """Each bucket member with the bucket's centre, where the bits allow it: distinct (a, b) with a < b.
+def centred(members: DataFrame) -> DataFrame:
+    """Distinct (c, id, far): each member under the centres of its buckets, and whether its low bits exclude a link to it.
 
-    The centre is the least hash of id and bucket, so another member in each band.
+    The centre is the member with most company: of a group of copies the one whose buckets hold most others.
     """
-    by = F.struct(F.xxhash64("id", "key").alias("r"), "id", "b1", "b2")
-    centre = members.groupBy("key").agg(F.min(by).alias("c"), F.count("*").alias("n")).where("n > 1")
-    centre = centre.select("key", F.col("c.id").alias("id"), F.col("c.b1").alias("b1"), F.col("c.b2").alias("b2"))
-    near = members.alias("m").join(centre.alias("c"), "key").where((F.col("m.id") != F.col("c.id")) & (apart("m", "c") <= BITS_APART))
-    return near.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = staged(members.join(sizes, "key"), "buckets")
+    score = crowd.groupBy("id").agg(F.sum("n").alias("score"))
+    ranked = crowd.drop("n").join(score, "id")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("score", "id", "b1", "b2")).alias("c")).select("key", "c.*")
+    far = apart("m", "c") > BITS_APART
+    return crowd.alias("m").join(centre.alias("c"), "key").select(F.col("c.id").alias("c"), F.col("m.id").alias("id"), far.alias("far")).distinct()
 
 
-def mixed_buckets(known: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components."""
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return known.join(mixed, "key", "left_semi")
+def shingled(texts: DataFrame) -> DataFrame:
+    """(id, s, w): each text's shingles and their weights."""
+    schema = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int64())), ("w", pa.list_(pa.int32()))])
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.parts(batches):
+            found = [shingles(t.as_py()) for t in part.column("text")]
+            yield words.batch(schema, id=part.column("id"), s=[s.view(np.int64) for s, _ in found], w=[n for _, n in found])
 
-def shares(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, own, total, flat): the weight in shingles that no other of ``ids`` has, all weight, and whether no weight is over 1."""
+    return arrow_batches(texts.select("id", "text")).mapInArrow(spread, "id long, s array<long>, w array<int>")
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i, t in zip(frame["id"], frame["text"], strict=True):
-                s, n = shingles(t)
-                yield pd.DataFrame({"id": i, "s": s.view(np.int64), "n": n, "total": n.sum(), "flat": bool((n == 1).all())})
 
-    each = staged(needed(ids, texts).mapInPandas(spread, "id long, s long, n long, total long, flat boolean"), "shingles")
-    one = each.groupBy("s").agg(F.count("*").alias("df"), F.min(F.struct("id", "n")).alias("x"))
-    own = one.where("df = 1").groupBy("x.id").agg(F.sum("x.n").alias("own"))
-    all_ids = each.groupBy("id").agg(F.max("total").alias("total"), F.min("flat").alias("flat"))
-    return all_ids.join(own, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"), "total", "flat")
+def cells(under: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(c, i, j, one, id, comp): the members to be compared; those with ``one`` with the others of their cell.
+
+    A centre's members are dealt into blocks; a cell has one block of those
+    outside the largest component, and one of all members.
+    """
+    rows = staged(under.select("c", "id").join(comps, "id").join(sizes, "id"), "members")
+    of = rows.groupBy("c", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    of = of.groupBy("c").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("k"))
+    of = of.where("k > 1 and n > 2").select("c", F.col("main.comp").alias("main"), F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
+    dealt = rows.join(of, "c").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.where("comp <> main").select("c", F.col("own").alias("i"), other.alias("j"), F.lit(True).alias("one"), "id", "comp")
+    return left.union(dealt.select("c", other.alias("i"), F.col("own").alias("j"), F.lit(False).alias("one"), "id", "comp"))
 
 
-def possible(a: str, b: str, similar: float) -> Column:
-    """Whether own weights leave room for the similarity; exact bounds.
+def similarities(x: np.ndarray, y: np.ndarray, of: np.ndarray, mine: float, theirs: np.ndarray) -> np.ndarray:
+    """Probability Jaccard of one text with several: the weights x and y of each common element, and whose it is.
 
-    Probability Jaccard is at most the common share of either text's weight.  For
-    texts without repeated shingles it is the Jaccard similarity, at most
-    m / (|a| + |b| - m) where m, the common part, is within what is not their own.
+    Elements with equal weights on both sides add equal terms, so they are counted.
     """
-    rest = lambda x: F.col(f"{x}.total") - F.col(f"{x}.own")
-    m = F.least(rest(a), rest(b))
-    some = (rest(a) >= (similar - 1e-9) * F.col(f"{a}.total")) & (rest(b) >= (similar - 1e-9) * F.col(f"{b}.total"))
-    sets = m >= (similar - 1e-9) * (F.col(f"{a}.total") + F.col(f"{b}.total") - m)
-    return some & (sets | ~F.col(f"{a}.flat") | ~F.col(f"{b}.flat"))
+    step = int(y.max()) + 1
+    pairs, which = np.unique(x.astype(np.int64) * step + y, return_inverse=True)
+    xs, ys = pairs // step, pairs % step
+    larger = np.maximum(xs / xs[:, None], ys / ys[:, None])
+    out = np.zeros(len(theirs))
+    for lo in range(0, len(theirs), slab := max(1, 1_000_000 // len(pairs))):
+        here = (of >= lo) & (of < lo + slab)
+        n = min(slab, len(theirs) - lo)
+        count = np.bincount((of[here] - lo) * len(pairs) + which[here], minlength=n * len(pairs)).reshape(n, -1).astype(float)
+        total = (mine - count @ xs)[:, None] / xs + (theirs[lo : lo + n] - count @ ys)[:, None] / ys + count @ larger.T
+        out[lo : lo + n] = (count / np.maximum(total, 1e-300)).sum(axis=1)
+    return out
 
 
-def unjoined_links(members: DataFrame, comps: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Pairs of one bucket that are still in different components and may be similar."""
-    left = staged(mixed_buckets(members.join(comps, "id")), "mixed")
-    own = staged(shares(staged(left.select("id").distinct(), "ids"), texts), "shares")
-    left = left.join(own, "id")
-    left = staged(mixed_buckets(left.where(F.col("own") <= (1 - similar + 1e-9) * F.col("total"))), "mixed")
-    pair = left.alias("m").join(left.alias("c"), "key").where((F.col("m.comp") < F.col("c.comp")) & (apart("m", "c") <= BITS_APART) & possible("m", "c", similar))
-    return pair.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
+def compared(dealt: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(a, b): for each member one partner of each other component of its cell that is similar enough."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        one, ids, comp = (cell.column(c).to_numpy() for c in ("one", "id", "comp"))
+        s, w = cell.column("s").combine_chunks(), cell.column("w").combine_chunks()
+        size = np.diff(s.offsets.to_numpy())
+        at = np.concatenate([[0], np.cumsum(size)])
+        codes, weight = np.unique(s.flatten().to_numpy(), return_inverse=True)[1], w.flatten().to_numpy()
+        held = np.zeros(codes.max() + 1 if len(codes) else 0, dtype=weight.dtype)
+        right = np.flatnonzero(~one)
+        take = np.concatenate([np.arange(at[r], at[r + 1]) for r in right]) if len(right) else at[:0]
+        of = np.repeat(np.arange(len(right)), size[right])
+        total = np.bincount(np.repeat(np.arange(len(size)), size), weights=weight, minlength=len(size))
+        found: list[tuple[int, int]] = []
+        for k in np.flatnonzero(one):
+            mine = slice(at[k], at[k + 1])
+            held[codes[mine]] = weight[mine]
+            x = held[codes[take]]
+            held[codes[mine]] = 0
+            common = np.flatnonzero((x > 0) & (comp[right] != comp[k])[of])
+            if len(common):
+                close = similarities(x[common], weight[take[common]], of[common], total[k], total[right])
+                done: set[int] = set()
+                for r in right[np.flatnonzero(close >= similar - 1e-9)].tolist():
+                    if comp[r] not in done:
+                        done.add(comp[r])
+                        found.append((ids[k], ids[r]))
+        both = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": both.min(axis=1), "b": both.max(axis=1)})
+
+    rows = arrow_batches(dealt.join(shingled(texts), "id"))
+    return rows.groupBy("c", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+#: The row that stands for a group: that of the least id, rows without an id last.
+ROW = "struct(doc_id is null as without, doc_id, t, u)"
+
+
+def classified(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and for each text (h1, h2) its own ``row`` and its class's ``head`` (see ROW)."""
+    texts = keyed(docs)
+    sk = staged(sketches(texts), "sketches")
+    groups = sk.groupBy("h1", "h2").agg(F.min(F.expr(ROW)).alias("row"), F.first("bands").alias("bands"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("size").alias("size"))
+    groups = staged(groups, "groups")
+    # of texts whose first halves are equal by chance, all but one get another node
+    again = groups.groupBy("h1").agg(F.count("*").alias("n"), F.min("h2").alias("one")).where("n > 1").select("h1", "one")
+    if again.isEmpty():
+        nodes = groups.withColumn("id", F.col("h1"))
+    else:
+        nodes = groups.join(again, "h1", "left").withColumn("id", F.when(F.col("one") != F.col("h2"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("one")
+    members = nodes.select("id", F.explode("bands").alias("key"), "b1", "b2")
+    named = nodes.select("id", "row.t", "row.u")
+    under = staged(centred(members), "centres")
+    links = under.where("not far and c <> id").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+    edges = staged(checked(links, named, texts, similar), "near")
+    comps = staged(components(nodes.select("id"), edges), "comps")
+    dealt = staged(cells(under, comps, nodes.select("id", "size")), "cells")
+    if not dealt.isEmpty():
+        extra = staged(compared(dealt, needed(dealt.select("id").distinct(), named, texts), similar), "near")
+        comps = comps if extra.isEmpty() else staged(components(nodes.select("id"), edges.union(extra)), "comps")
+    both = staged(nodes.select("h1", "h2", "id", "row").join(comps, "id"), "classes")
+    heads = both.groupBy("comp").agg(F.min("row").alias("head"))
+    return sk, both.join(heads, "comp").select("h1", "h2", "row", "head")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row for each document: doc_id, class_id (the class's least doc_id), copy_of, kept.
 
-    ``copy_of`` is the representative of the document's exact copies; ``kept``
-    is true for one document of each class.
+    ``copy_of`` is the least id of the document's exact copies; ``kept`` is true
+    for one document of each class (and for rows that repeat its id and text).
     """
-    numbered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    sk = staged(sketches(numbered), "sketches")
-    groups = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    reps = sk.join(groups.withColumn("doc_id", F.col("id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2"])
-    reps = staged(reps.select("id", "bands", "b1", "b2"), "reps")
-    ids = reps.select("id").distinct()
-    members = reps.select("id", F.explode("bands").alias("key"), "b1", "b2")
-    texts = numbered.select(F.col("doc_id").alias("id"), "text")
-    first = staged(candidate_links(members), "links")
-    edges = staged(checked(first, texts, similar), "near")
-    comps = staged(components(ids, edges), "comps")
-    more = staged(unjoined_links(members, comps, texts, similar).join(first, ["a", "b"], "left_anti"), "links")
-    if not more.isEmpty():
-        extra = staged(checked(more, texts, similar), "near")
-        comps = staged(components(ids, edges.union(extra)), "comps")
-    classes = groups.join(comps, "id", "left").select("h1", "h2", F.col("id").alias("copy_of"), F.coalesce("comp", "id").alias("class_id"))
-    out = sk.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"])
-    return out.select("doc_id", "class_id", "copy_of", F.expr("doc_id <=> class_id").alias("kept"))
-
-
-def needed(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, text) of the named texts; of several under one id the least."""
-    return staged(texts.join(small(ids), "id", "left_semi"), "texts").groupBy("id").agg(F.min("text").alias("text"))
-
-
-def checked(links: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Verified links; of the texts only those that some link names are shuffled."""
+    sk, classes = classified(docs, similar)
+    out = sk.select("doc_id", "t", "u", "h1", "h2").join(classes, ["h1", "h2"])
+    return out.select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("row.doc_id").alias("copy_of"), F.expr("doc_id <=> head.doc_id and t = head.t and u = head.u").alias("kept"))
+
+
+def needed(ids: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) of the named nodes; only their texts are shuffled."""
+    want = staged(nodes.join(ids, "id", "left_semi"), "named")
+    found = staged(texts.select("t", "u", "text").join(small(want), ["t", "u"]).select("id", "text"), "texts")
+    return found.groupBy("id").agg(F.first("text").alias("text"))
+
+
+def checked(links: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Verified links."""
     named = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    return verified(links, needed(staged(named, "named"), texts), similar)
+    return verified(links, needed(named, nodes, texts), similar)
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicate class, with all their columns.
 
-    Rows without an id stay where no row of their class has one.  Of rows that
-    repeat an id and its text one stays; ids are counted to find them, so that
-    only such rows are shuffled.
+    Of rows that repeat the chosen id and text one stays; they are counted to
+    find them, so that only such rows are shuffled.
     """
-    ids = near_duplicates(docs, similar).where("kept").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again"))
-    ids = staged(ids, "kept")
-    kept = docs.join(small(ids), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    order = Window.partitionBy("_id", F.xxhash64(text_of(kept))).orderBy(F.lit(1))
-    again = kept.where("_again").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return kept.where("not _again").union(again).drop("_id", "_again")
+    sk, classes = classified(docs, similar)
+    heads = classes.where("row = head").select(F.col("head.doc_id").alias("i"), F.col("head.t").alias("t"), F.col("head.u").alias("u"))
+    seen = sk.groupBy(F.col("doc_id").alias("i"), "t", "u").agg((F.count("*") > 1).alias("again"))
+    kept = staged(seen.join(heads.select(F.col("i").alias("hi"), "t", "u"), ["t", "u"]).where("i <=> hi").drop("hi"), "kept")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("t"), F.xxhash64(F.lit(1), text_of(docs)).alias("u"))
+    rows = rows.join(small(kept), ["t", "u"]).where("doc_id <=> i")
+    order = Window.partitionBy("doc_id", "t", "u").orderBy(F.lit(1))
+    once = rows.where("again").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return rows.where("not again").select("row.*").union(once.select("row.*"))

@@ -26,14 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import staged, text_of
+from larder.llm.common import arrow_batches, staged, text_of
 
 SEQUENCE = 2048
 END = 0
 #: Pieces in a group, about; a group is one task's work.
 GROUP = 40_000
-#: Words whose ids a Python worker remembers, at most.
-REMEMBERED = 600_000
+#: Words whose ids a Python worker remembers in each of two generations, and the longest of them: some 10 MB.
+REMEMBERED, LONGEST = 40_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -72,6 +72,8 @@ class WordIds(dict):
             blank = " " + word
             ids = self.words._core_bpe.encode_single_piece(blank.encode()) if word.isalpha() else self.words.encode_ordinary(blank)
             ids = array("I", ids).tobytes()
+        if len(word) > LONGEST:
+            return ids
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -127,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, length: int = SEQ
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(cut, PIECES)
+    return arrow_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))).mapInPandas(cut, PIECES)
 
 
 def sum_of_squares(lengths: Iterable[int], length: int = SEQUENCE) -> tuple[list[int], list[int]]:

@@ -11,25 +11,32 @@
    another text has too.  Work grows with the repeated words, never with pairs.
 
 Words are lower-cased and split at ASCII white space; a passage is equal where
-the words' 64-bit hashes are.  Defined results: texts of fewer than ``LEAST``
-words (null and empty too) have no spans; equal texts, repeated rows among them,
-are one whole span each; a null doc_id is reported as null; extra columns are
-ignored by :func:`passages` and kept by :func:`deduplicated`.
+the words' 64-bit hashes are; a text is known by two 64-bit hashes.  Defined
+results: texts of fewer than ``LEAST`` words (null and empty too) have no spans;
+equal texts, repeated rows among them, are one whole span each; a null doc_id is
+reported as null; an id that names several texts has the rows of each; extra
+columns are ignored by :func:`passages` and kept by :func:`deduplicated`.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from larder.llm.common import staged, text_of
-from larder.llm.near_dedup import _WORDS, bounded, word_hashes
+from larder.llm import words
+from larder.llm.common import arrow_batches, small, staged, text_of
+from larder.llm.near_dedup import keyed
 from larder.llm.suffixes import repeated, retained, run_hashes
 
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
 #: Words of the shortest reported passage.
 LEAST = 50
 GRAM = 8
@@ -38,60 +45,74 @@ WINDOW = 31
 #: Words of a suffix's key: what any passage has left after its first retained suffix.
 REACH = LEAST - WINDOW + 1
 
-SUFFIX = "key long, who long, doc long, pos long, words long"
+SUFFIX = pa.schema([("key", pa.int64()), ("who", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("words", pa.int64())])
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """A row for each retained suffix, and one with ``words`` (key 0, pos -1) for each text long enough."""
+def suffixes(texts: DataFrame) -> DataFrame:
+    """A row for each retained suffix, and one with ``words`` (pos -1) for each text long enough; who and doc are the text's two hashes."""
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in bounded(frame):
-                words = [word_hashes(t) for t in part["text"]]
-                n = np.array([len(w) for w in words])
-                far = np.flatnonzero(n >= LEAST)
-                if not len(far):
-                    continue
-                stream, place, key = retained([words[i] for i in far], GRAM, WINDOW, REACH)
-                who, doc = part["who"].to_numpy()[far], part["doc_id"].astype("Int64").array[far]
-                yield pd.DataFrame({"key": 0, "who": who, "doc": doc, "pos": -1, "words": n[far]}).astype({"words": "Int64"})
-                yield pd.DataFrame({"key": key.view(np.int64), "who": who[stream], "doc": doc[stream], "pos": place, "words": pd.array([None] * len(key), "Int64")})
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.parts(batches):
+            tokens, n = words.hashed(part.column("text").to_pylist())
+            each = np.split(tokens, np.cumsum(n))[:-1]
+            far = np.flatnonzero(n >= LEAST)
+            if not len(far):
+                continue
+            stream, place, key = retained([each[i] for i in far], GRAM, WINDOW, REACH)
+            who, doc = part.column("t").to_numpy()[far], part.column("u").to_numpy()[far]
+            yield words.batch(SUFFIX, key=np.zeros(len(far), dtype=np.int64), who=who, doc=doc, pos=np.full(len(far), -1), doc_id=part.column("doc_id").take(pa.array(far)), words=n[far])
+            yield words.batch(SUFFIX, key=key.view(np.int64), who=who[stream], doc=doc[stream], pos=place, doc_id=pa.nulls(len(key), pa.int64()), words=pa.nulls(len(key), pa.int64()))
 
-    return docs.mapInPandas(scan, SUFFIX)
+    return arrow_batches(texts).mapInArrow(scan, "key long, who long, doc long, pos long, doc_id long, words long")
+
+
+RUN = pa.schema([("key", pa.int64()), ("who", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64())])
 
 
 def runs_around(texts: DataFrame) -> DataFrame:
     """(key, who, doc, pos) of each run of LEAST words that holds a matched suffix; ``at`` has the suffixes' places."""
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for who, doc, text, at in zip(frame["who"], frame["doc"].astype("Int64"), frame["text"], frame["at"], strict=True):
-                keys = run_hashes(word_hashes(text), LEAST)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.parts(batches, rows=64):
+            for who, doc, text, at in zip(part.column("who").to_pylist(), part.column("doc").to_pylist(), part.column("text"), part.column("at"), strict=True):
+                keys = run_hashes(words.hashed([text.as_py()])[0], LEAST)
                 if not len(keys):
                     continue
                 step = np.zeros(len(keys) + 1, dtype=np.int64)
-                at = np.asarray(at)
+                at = at.values.to_numpy()
                 np.add.at(step, np.maximum(at - WINDOW + 1, 0), 1)
                 np.add.at(step, np.minimum(at + 1, len(keys)), -1)
                 pos = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-                yield pd.DataFrame({"key": keys[pos].view(np.int64), "who": who, "doc": pd.array([doc] * len(pos), "Int64"), "pos": pos})
+                yield words.batch(RUN, key=keys[pos].view(np.int64), who=np.full(len(pos), who), doc=np.full(len(pos), doc), pos=pos)
 
-    return texts.mapInPandas(scan, "key long, who long, doc long, pos long")
+    return arrow_batches(texts).mapInArrow(scan, "key long, who long, doc long, pos long")
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """(who, start_word, end_word, first): runs that overlap or touch, apart by whether their text is the first that has them."""
-    one = runs.groupBy("who", (F.col("first") == F.col("who")).alias("first")).agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    """(who, doc, start_word, end_word, first): runs that overlap or touch, apart by whether their text is the first that has them."""
+    one = runs.groupBy("who", "doc", (F.col("first") == F.col("who")).alias("first")).agg(F.array_sort(F.collect_set("pos")).alias("at"))
 
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for who, first, at in zip(frame["who"], frame["first"], frame["at"], strict=True):
+            for who, doc, first, at in zip(frame["who"], frame["doc"], frame["first"], frame["at"], strict=True):
                 at = np.asarray(at)
                 new = np.flatnonzero(np.concatenate([[True], np.diff(at) > LEAST]))
                 last = np.concatenate([new[1:] - 1, [len(at) - 1]])
-                yield pd.DataFrame({"who": who, "start_word": at[new], "end_word": at[last] + LEAST, "first": first})
+                yield pd.DataFrame({"who": who, "doc": doc, "start_word": at[new], "end_word": at[last] + LEAST, "first": first})
+
+    return one.mapInPandas(join, "who long, doc long, start_word long, end_word long, first boolean")
+
 
-    return one.mapInPandas(join, "who long, start_word long, end_word long, first boolean")
+def searched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spans of each different text, and the rows (who, doc, doc_id, words) of all texts long enough."""
+    texts = keyed(docs)
+    found = staged(suffixes(texts), "suffixes")
+    matched = repeated(found.where("words is null").select("key", "who", "doc", "pos"), "matches")
+    at = staged(matched.groupBy("who", "doc").agg(F.collect_set("pos").alias("at")), "places")
+    one = texts.withColumnsRenamed({"t": "who", "u": "doc"}).join(small(at.select("who", "doc")), ["who", "doc"], "left_semi")
+    one = one.groupBy("who", "doc").agg(F.first("text").alias("text")).join(at, ["who", "doc"])
+    runs = staged(runs_around(one.select("who", "doc", "text", "at")), "runs")
+    return merged(repeated(runs, "passages")), found.where("words is not null").select("who", "doc", "doc_id", "words")
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -101,37 +122,38 @@ def passages(docs: DataFrame) -> DataFrame:
     ``first`` marks the one occurrence that stays where later ones are removed.
     Of equal texts only the one with the least doc_id has "span" rows as well.
     """
-    text = text_of(docs)
-    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("who"))
-    found = staged(suffixes(keyed), "suffixes")
-    matched = repeated(found.where("words is null"), "matches")
-    at = matched.groupBy("who").agg(F.min("doc").alias("doc"), F.collect_set("pos").alias("at"))
-    at = at.withColumnRenamed("who", "w").withColumnRenamed("doc", "d")
-    texts = keyed.join(at, (F.col("who") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    runs = staged(runs_around(texts.select("who", F.col("d").alias("doc"), "text", "at")), "runs")
-    spans = merged(repeated(runs, "passages"))
-    whole = found.where("words is not null").select("who", F.col("doc").alias("doc_id"), "words")
-    same = whole.groupBy("who").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    copies = whole.join(same.where("n > 1"), "who").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.lit("copy").alias("kind"), F.expr("doc_id <=> least").alias("first"))
-    return copies.union(spans.join(same, "who").select(F.col("least").alias("doc_id"), "start_word", "end_word", F.lit("span"), "first"))
+    spans, whole = searched(docs)
+    same = whole.groupBy("who", "doc").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    copies = whole.join(same.where("n > 1"), ["who", "doc"]).select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.lit("copy").alias("kind"), F.expr("doc_id <=> least").alias("first"))
+    return copies.union(spans.join(same, ["who", "doc"]).select(F.col("least").alias("doc_id"), "start_word", "end_word", F.lit("span"), "first"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without later occurrences: later copies leave as rows, later spans are cut from the text.
 
-    Rows that share an id share its spans; ids should be unique where spans are cut.
+    Texts are told apart by their hashes, so rows that share an id keep their own
+    words; of rows that repeat an id and its text one stays.
     """
-    found = staged(passages(docs).where("not first"), "cuts")
-    gone = found.where("kind = 'copy'").select(F.col("doc_id").alias("_gone")).distinct()
-    cuts = found.where("kind = 'span'").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("_cuts"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    both = left.join(cuts, left["doc_id"].eqNullSafe(F.col("_cut_id")), "left")
+    spans, whole = searched(docs)
+    cuts = spans.where("not first").groupBy("who", "doc").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
+    rows = whole.groupBy("who", "doc", "doc_id").agg(F.count("*").alias("n"))
+    same = rows.groupBy("who", "doc").agg(F.sum("n").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    marks = staged(same.join(cuts, ["who", "doc"], "full").select(F.col("who").alias("t"), F.col("doc").alias("u"), F.col("n").isNotNull().alias("several"), "least", "cuts"), "marks")
+    text = text_of(docs)
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u"))
+    both = carried.join(small(marks), ["t", "u"], "left")
+    alone = both.where("several is null or not several")
+    order = Window.partitionBy("t", "u", "doc_id").orderBy(F.lit(1))
+    once = both.where("several and doc_id <=> least").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without(t, s) if s is not None and len(s) else t for t, s in zip(texts, spans, strict=True)])
 
-    return both.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(cut("text", "_cuts"))).drop("_cut_id", "_cuts")
+    left = arrow_batches(alone.union(once))
+    name = next(c for c in docs.columns if c.lower() == "text")
+    changed = F.when(F.col("cuts").isNull(), F.col("row").getField(name)).otherwise(cut("text", "cuts"))
+    return left.select("row", changed.alias("text")).select(F.col("row").withField(name, F.col("text")).alias("row")).select("row.*")
 
 
 def without(text: str, spans) -> str:

@@ -22,28 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import staged
-from larder.llm.near_dedup import mix
+from larder.llm.words import BASE, INVERSE, mix, powers
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
 _MAX = _U(2**64 - 1)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def run_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     """The hash of the k tokens from each place on; one pass for any k."""
     n = len(tokens)
     if n < k:
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(tokens * powers(_BASE, n), out=total[1:], dtype=np.uint64)
-    return mix((total[k:] - total[:-k]) * powers(_INVERSE, n - k + 1) + _U(k))
+    np.cumsum(tokens * powers(BASE, n), out=total[1:], dtype=np.uint64)
+    return mix((total[k:] - total[:-k]) * powers(INVERSE, n - k + 1) + _U(k))
 
 
 def sliding(values: np.ndarray, width: int, op) -> np.ndarray:
