@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 Rule = tuple[object, tuple[str, ...]]
 
 
-def words(*lists: str) -> tuple[tuple[str, ...], ...]:
-    return tuple(tuple(x.strip() for x in s.split(",")) for s in lists)
-
-
 # Cuisine tags and their keywords, first rule set and second.
 CUISINES = {
     1: (
@@ -88,9 +84,19 @@ def first_match(text: Column, rules: Sequence[Rule], default) -> Column:
     return F.coalesce(*(F.when(any_word(text, ks), F.lit(v)) for v, ks in rules), F.lit(default))
 
 
-def all_matches(text: Column, rules: Sequence[Rule]) -> Column:
-    """The names of all matching rules, sorted."""
-    return F.array_sort(present(*(F.when(any_word(text, ks), F.lit(v)) for v, ks in rules)))
+def tag_list(tags: Sequence[tuple[str, Column]]) -> Column:
+    """The tags whose condition holds, sorted by name; at least one always holds.
+
+    The order is settled when the plan is built, and joining and splitting names
+    stays in generated code, which array functions do not.
+    """
+    return F.split(F.concat_ws(",", *(F.when(c, F.lit(t)) for t, c in sorted(tags, key=lambda x: x[0]))), ",")
+
+
+def texts(*items: Column) -> Column:
+    """Like :func:`present` for texts that are neither empty nor hold the unit separator."""
+    joined_up = F.concat_ws("\x1f", *items)
+    return F.when(joined_up == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(joined_up, "\x1f"))
 
 
 def present(*items: Column) -> Column:
@@ -102,23 +108,36 @@ def joined(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
 
 
+def cuisines(low: Column, version: int = 1) -> list[tuple[str, Column]]:
+    """Each cuisine tag with its condition on a lowered text; a general one where no other holds."""
+    known = [(tag, any_word(low, ks)) for tag, ks in CUISINES[version]]
+    return [*known, ("general", ~reduce(or_, (c for _, c in known)))]
+
+
 def cuisine_tags(category: Column, name: Column, version: int = 1) -> Column:
-    found = all_matches(joined(category, name), CUISINES[version])
-    return F.when(F.size(found) == 0, F.array(F.lit("general"))).otherwise(found)
+    return cuisine_tags_of(joined(category, name), version)
+
+
+def cuisine_tags_of(low: Column, version: int = 1) -> Column:
+    return tag_list(cuisines(low, version))
 
 
 def estimate(what: dict, name: Column, description: Column, category: Column, version: int = 1) -> Column:
+    return estimate_of(what, joined(name, description, category), version)
+
+
+def estimate_of(what: dict, low: Column, version: int = 1) -> Column:
     rules, default = what[version]
-    return first_match(joined(name, description, category), rules, default)
+    return first_match(low, rules, default)
 
 
-def menu_tags(kcal: Column, protein: Column, fiber: Column, cuisine: Column, version: int = 1) -> Column:
-    """Nutrition tags with the item's cuisine tags, sorted and distinct."""
-    own = present(
-        F.when(kcal <= 500, "low_calorie").when(kcal >= 800, "high_calorie"), F.when(protein >= 30, "high_protein"), F.when(fiber >= 7, "high_fiber"),
-        F.when((kcal <= 600) & (protein >= 25), "fitness_friendly"), F.when(kcal >= (800 if version == 1 else 850), "cheat_meal"),
-    )
-    return F.array_sort(F.array_union(own, cuisine))
+def menu_tags(kcal: Column, protein: Column, fiber: Column, low: Column, version: int = 1) -> Column:
+    """Nutrition tags with the cuisine tags of a lowered text, sorted and distinct."""
+    own = [
+        ("low_calorie", kcal <= 500), ("high_calorie", kcal >= 800), ("high_protein", protein >= 30), ("high_fiber", fiber >= 7),
+        ("fitness_friendly", (kcal <= 600) & (protein >= 25)), ("cheat_meal", kcal >= (800 if version == 1 else 850)),
+    ]
+    return tag_list([*own, *cuisines(low, version)])
 
 
 def health_level(kcal: Column, protein: Column, fiber: Column, version: int = 1) -> Column:
@@ -140,7 +159,7 @@ def item_scores(kcal: Column, protein: Column, fiber: Column) -> dict[str, Colum
 def goals(kcal: Column, protein: Column, fiber: Column, level: Column, tags: Column) -> Column:
     """Goals that an item serves, in fixed order."""
     healthy = (level == "healthy") | F.contains(tags, F.lit("healthy"))
-    return present(
+    return texts(
         F.when(protein >= 25, "high_protein"), F.when(protein >= 30, "muscle_gain"), F.when(kcal <= 550, "fat_loss"), F.when(kcal <= 550, "low_calorie"),
         F.when(fiber >= 6, "high_fiber"), F.when(healthy, "healthy_eating"), F.when((protein >= 20) & (kcal <= 700), "post_workout"), F.lit("maintenance"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,9 +108,9 @@ def simple_samples(items: DataFrame) -> DataFrame:
 
 def expanded(items: DataFrame) -> DataFrame:
     """Every item with each of its goals and that goal's requests; templates are literals of fixed size."""
-    tags = text.json_list(F.col("tags"))
     known = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in TEMPLATES.items() for x in kv))
-    df = items.withColumn("cuisine", text.clean_cuisine(F.col("restaurant_category"))).withColumn("goal", F.explode(rules.goals(F.col(K), F.col(P), F.col(FI), F.col("health_level"), tags)))
+    df = items.withColumns({"cuisine": text.clean_cuisine(F.col("restaurant_category")), "tags_text": text.json_list(F.col("tags"))})
+    df = df.withColumn("goal", F.explode(rules.goals(F.col(K), F.col(P), F.col(FI), F.col("health_level"), F.col("tags_text"))))
     df = df.select("*", F.posexplode(known[F.col("goal")]).alias("template", "t")).withColumn("user_request", F.replace("t", F.lit("{cuisine}"), F.col("cuisine"))).drop("t")
     structured = filled(STRUCTURED, goal=F.col("goal"), cuisine=F.col("cuisine"), request=F.col("user_request"), **{k: v for k, v in facts().items() if k in ("kcal", "protein", "fiber")})
     return df.withColumns({"constraint": F.col("goal"), "structured_input": structured})
@@ -127,19 +129,19 @@ def dessert_like(name: Column, category: Column, tags: Column) -> Column:
 
 
 def evaluated(requests: DataFrame) -> DataFrame:
-    """Adds satisfied, partial, violated, limitations and overall_match."""
+    """Adds satisfied, partial, violated, limitations and overall_match; ``tags_text`` is the item's tags as :func:`expanded` gives them."""
     k, p, f, goal = F.col(K), F.col(P), F.col(FI), F.col("goal")
-    tags = text.json_list(F.col("tags"))
+    tags = F.col("tags_text") if "tags_text" in requests.columns else text.json_list(F.col("tags"))
     under, low = F.contains(F.lower("user_request"), F.lit("under 600")), goal.isin("fat_loss", "low_calorie")
     strong, fibrous, healthy, keep = goal.isin("high_protein", "muscle_gain", "post_workout"), goal == "high_fiber", goal == "healthy_eating", goal == "maintenance"
     well = (F.col("health_level") == "healthy") | F.contains(tags, F.lit("healthy")) | F.contains(tags, F.lit("fitness_friendly"))
     good = (k <= 700) & (p >= 15)
     say = lambda c, key: F.when(c, F.lit(SAID[key]))
     df = requests.withColumns({
-        "satisfied": rules.present(say(under & (k <= 600), "under_yes"), say(low & (k <= 550), "low_yes"), say(strong & (p >= 35), "protein_yes"), say(fibrous & (f >= 8), "fiber_yes"), say(healthy & well, "healthy_yes"), say(keep & good, "keep_yes")),
-        "partial": rules.present(say(low & (k > 550) & (k <= 700), "low_part"), say(strong & (p < 35) & (p >= 25), "protein_part"), say(fibrous & (f < 8) & (f >= 5), "fiber_part"), say(healthy & ~well, "healthy_part"), say(keep & ~good, "keep_part")),
-        "violated": rules.present(F.when(under & (k > 600), filled(SAID["under_no"], kcal=text.whole(k))), say(low & (k > 700), "low_no"), say(strong & (p < 25), "protein_no"), say(fibrous & (f < 5), "fiber_no")),
-        "limitations": rules.present(say(dessert_like(F.col("menu_name"), F.col("menu_category"), tags), "sweet")),
+        "satisfied": rules.texts(say(under & (k <= 600), "under_yes"), say(low & (k <= 550), "low_yes"), say(strong & (p >= 35), "protein_yes"), say(fibrous & (f >= 8), "fiber_yes"), say(healthy & well, "healthy_yes"), say(keep & good, "keep_yes")),
+        "partial": rules.texts(say(low & (k > 550) & (k <= 700), "low_part"), say(strong & (p < 35) & (p >= 25), "protein_part"), say(fibrous & (f < 8) & (f >= 5), "fiber_part"), say(healthy & ~well, "healthy_part"), say(keep & ~good, "keep_part")),
+        "violated": rules.texts(F.when(under & (k > 600), filled(SAID["under_no"], kcal=text.whole(k))), say(low & (k > 700), "low_no"), say(strong & (p < 25), "protein_no"), say(fibrous & (f < 5), "fiber_no")),
+        "limitations": rules.texts(say(dessert_like(F.col("menu_name"), F.col("menu_category"), tags), "sweet")),
     })
     clean = (F.size("violated") == 0) & (F.size("partial") == 0)
     return df.withColumn("overall_match", F.when(clean, "Full Match").when(F.size("satisfied") > 0, "Partial Match").otherwise("Weak Match"))
@@ -207,15 +209,21 @@ def chat_text(instruction: Column, user: Column, output: Column) -> Column:
     return filled(CHAT, instruction=instruction, input=user, output=output)
 
 
+@cache
+def tokenizer(path: str):
+    """A worker's tokenizer, read once."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def tokenised(rows: DataFrame, column: str, length: int, tokenizer_path: str) -> DataFrame:
     """Adds input_ids, attention_mask and labels (-100 where padded), cut and padded to ``length``."""
     import pandas as pd
 
     @F.pandas_udf("struct<input_ids: array<int>, attention_mask: array<int>, labels: array<int>>")
     def encode(texts: pd.Series) -> pd.DataFrame:
-        from tokenizers import Tokenizer
-
-        ids = [e.ids[:length] for e in Tokenizer.from_file(tokenizer_path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)]
+        ids = [e.ids[:length] for e in tokenizer(tokenizer_path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)]
         pad = lambda xs, v: xs + [v] * (length - len(xs))
         return pd.DataFrame({"input_ids": [pad(x, 0) for x in ids], "attention_mask": [pad([1] * len(x), 0) for x in ids], "labels": [pad(x, -100) for x in ids]})
 

@@ -27,9 +27,11 @@ def first_of(rows: DataFrame, keys: list[str], order: str | list[Column] = "row_
 
 def clean_menus(raw: DataFrame, venues: DataFrame, most: int = 30) -> DataFrame:
     """Items of known venues, at most the first ``most`` named ones of each, with estimates; ids follow row_seq."""
-    named = raw.select("row_seq", text.clean_text(F.col("restaurant_id")).alias("restaurant_id"), *(text.clean_text(F.col(c)).alias(c) for c in ("category", "name", "description")), text.parse_price(F.col("price")).alias("price"))
-    known = named.where(F.col("name") != "").join(venues.select(F.col("id").alias("restaurant_id")), "restaurant_id", "left_semi")
-    return numbered(enriched(first_rows(known, ["restaurant_id"], ["row_seq"], most)), "row_seq", "id")
+    known = raw.withColumn("restaurant_id", text.clean_text(F.col("restaurant_id"))).join(venues.select(F.col("id").alias("restaurant_id")), "restaurant_id", "left_semi")
+    named = known.withColumn("name", text.clean_text(F.col("name"))).where(F.col("name") != "")
+    kept = first_rows(named, ["restaurant_id"], ["row_seq"], most)  # the other columns are cleaned where rows stay
+    rows = kept.select("row_seq", "restaurant_id", "name", *(text.clean_text(F.col(c)).alias(c) for c in ("category", "description")), text.parse_price(F.col("price")).alias("price"))
+    return numbered(enriched(rows), "row_seq", "id")
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
@@ -56,10 +58,10 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
 def enriched(menus: DataFrame, version: int = 1) -> DataFrame:
     """Adds estimates, level and tags."""
     c = F.col
-    est = {n: rules.estimate(t, c("name"), c("description"), c("category"), version) for n, t in (("estimated_calories", rules.CALORIES), ("estimated_protein", rules.PROTEIN), ("estimated_fiber", rules.FIBER))}
-    df = menus.withColumns(est)
+    low = menus.withColumns({"_low_item": rules.joined(c("name"), c("description"), c("category")), "_low_tags": rules.joined(c("category"), c("name"))})
+    est = {n: rules.estimate_of(t, c("_low_item"), version) for n, t in (("estimated_calories", rules.CALORIES), ("estimated_protein", rules.PROTEIN), ("estimated_fiber", rules.FIBER))}
     k, p, f = (c(n) for n in est)
-    return df.withColumns({"health_level": rules.health_level(k, p, f, version), "tags": rules.menu_tags(k, p, f, rules.cuisine_tags(c("category"), c("name"), version), version)})
+    return low.withColumns(est).withColumns({"health_level": rules.health_level(k, p, f, version), "tags": rules.menu_tags(k, p, f, c("_low_tags"), version)}).drop("_low_item", "_low_tags")
 
 
 def aggregated(menus: DataFrame) -> DataFrame:

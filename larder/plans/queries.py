@@ -59,9 +59,9 @@ def normalize_category(spark, sf):
 
 
 def estimates(spark, sf, version: int):
-    m = features.enriched(views.raw_menus(spark, sf).withColumn("name", F.trim("name")), version)
+    m = features.enriched(views.raw_menus(spark, sf).withColumn("name", F.trim("name")), version).withColumn("low", rules.joined(F.col("category"), F.col("name")))
     own = rules.item_scores(F.col("estimated_calories"), F.col("estimated_protein"), F.col("estimated_fiber"))
-    return m.select("row_seq", "estimated_calories", "estimated_protein", "estimated_fiber", "health_level", tags("tags"), F.array_join(rules.cuisine_tags(F.col("category"), F.col("name"), version), ",").alias("cuisine_tags"), *(c.alias(n) for n, c in own.items()))
+    return m.select("row_seq", "estimated_calories", "estimated_protein", "estimated_fiber", "health_level", tags("tags"), F.array_join(rules.cuisine_tags_of(F.col("low"), version), ",").alias("cuisine_tags"), *(c.alias(n) for n, c in own.items()))
 
 
 @query
@@ -76,7 +76,8 @@ def menu_estimates_v2(spark, sf):
 
 @query
 def document_cuisine_tags(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(rules.cuisine_tags(F.col("source"), F.col("text")), ",").alias("cuisine_tags"))
+    low = table(spark, sf, "documents").select("doc_id", rules.joined(F.col("source"), F.col("text")).alias("low"))
+    return low.select("doc_id", F.array_join(rules.cuisine_tags_of(F.col("low")), ",").alias("cuisine_tags"))
 
 
 @query
@@ -88,7 +89,8 @@ def clean_menus(spark, sf):
 
 @query
 def clean_venues(spark, sf):
-    return views.venues(spark, sf).drop("row_seq")
+    """Typed venues, the first 5000: the reader's cap is shown here alone."""
+    return features.clean_venues(views.raw_venues(spark, sf), 5000).drop("row_seq")
 
 
 @query

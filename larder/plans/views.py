@@ -55,15 +55,16 @@ def raw_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.clean_venues(raw_venues(spark, sf_dir))
+    """All venues, without the reader's cap."""
+    return features.clean_venues(raw_venues(spark, sf_dir), None)
 
 
 def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched items without sequence ids."""
-    raw = raw_menus(spark, sf_dir)
-    named = raw.withColumn("name", features.text.clean_text(F.col("name"))).where("name <> ''").withColumn("price", features.text.parse_price(F.col("price")))
-    known = named.join(venues(spark, sf_dir).select(F.col("id").alias("restaurant_id")), "restaurant_id", "left_semi")
-    return features.enriched(features.first_rows(known, ["restaurant_id"], ["row_seq"], 30))
+    known = raw_menus(spark, sf_dir).join(venues(spark, sf_dir).select(F.col("id").alias("restaurant_id")), "restaurant_id", "left_semi")
+    named = known.withColumn("name", features.text.clean_text(F.col("name"))).where("name <> ''")
+    kept = features.first_rows(named, ["restaurant_id"], ["row_seq"], 30)
+    return features.enriched(kept.withColumn("price", features.text.parse_price(F.col("price"))))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Venues with nested menus for ranking."""
     i = capped(spark, sf_dir)
     level, num = F.col("health_level"), lambda c: F.col(c).cast("double")
-    tags = rules.present(F.when(level == "healthy", "Healthy"), F.when(level == "cheat", "Cheat Meal"), F.when(F.col("estimated_protein") >= 30, "High Protein"), F.when(F.col("estimated_calories") <= 500, "Low Calorie"))
+    tags = rules.texts(F.when(level == "healthy", "Healthy"), F.when(level == "cheat", "Cheat Meal"), F.when(F.col("estimated_protein") >= 30, "High Protein"), F.when(F.col("estimated_calories") <= 500, "Low Calorie"))
     item = F.struct(
         "row_seq", F.col("row_seq").cast("string").alias("id"), "name", num("estimated_calories").alias("calories"), num("estimated_protein").alias("protein"),
         (F.col("row_seq") % 61 + 20).cast("double").alias("carbs"), (F.col("row_seq") % 37 + 5).cast("double").alias("fat"), num("estimated_fiber").alias("fiber"), tags.alias("tags"),
