@@ -97,7 +97,7 @@ raw_menus as (select ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10
   case when l_partkey % 17 = 0 then '' else {pick(DISHES, 'l_partkey')} end as name, 'served ' || lower(l_returnflag) as description, '$' || {MONEY.format('l_extendedprice')} as price from lineitem),
 raw_venues as (select s_suppkey as row_seq, cast(s_suppkey as varchar) as id, case when s_suppkey % 25 = 24 then '' else s_name || ' & Co' end as name, {pick(CUISINES, 's_suppkey')} as raw_category,
   cast({MONEY.format('s_acctbal')} as double) as score, s_nationkey as ratings, '$$' as price_range, 'Street ' || s_nationkey as full_address, '00000' as zip_code, 0.0::double as lat, 0.0::double as lng from supplier),
-venues as (select *, {clean('raw_category')} as category from raw_venues where name <> '' order by row_seq limit 5000),
+venues as (select *, {clean('raw_category')} as category from raw_venues where name <> ''),
 named as (select * from raw_menus where name <> '' and restaurant_id in (select id from venues)),
 capped0 as (select * from named qualify row_number() over (partition by restaurant_id order by row_seq) <= 30),
 menus as ({enriched('capped0', 1)})"""
@@ -212,13 +212,17 @@ EV = "ev as (select event_id, ts, user_id, cast(props->>'$.k' as bigint) as item
 RAW_NUMBERS = "list_extract(['$12.99', '£18', '$$', '1,299', '-5', '', 'abc', '12.7', 'nan', '1.5d', '1_000', ' 7 '], cast(o_orderkey % 12 as int) + 1)"
 RAW_CATEGORY = "case when p_size % 7 = 0 then ' , ' when p_size % 11 = 0 then '' else concat_ws(',', p_brand, '  ', case when p_size % 3 = 0 then p_type end) end"
 OUTPUTS = """
-o0 as (select conv_id * 1000 + turn as row_seq, conv_id, conv_id + turn as k, left(coalesce(text, ''), 1500) as body from conversations),
+o0 as (select conv_id * 1000 + turn as row_seq, conv_id, conv_id + turn as k, coalesce(text, '') as body from conversations),
 o1 as (select row_seq, case when k % 7 = 0 then '' else 'Venue ' || (conv_id % 9) end as restaurant, case when k % 11 = 0 then '' else 'Dish' end as menu,
   case when k % 5 = 0 then 'It fits the asked-for nutrition well enough to be named here.' when k % 13 = 0 then '' else """ + strip("body") + """ end as reason from o0),
 o2 as (select *, case when restaurant = '' then 'missing_restaurant' when menu = '' then 'missing_menu' when reason = '' then 'missing_reason' when length(reason) < 50 or length(reason) > 1200 then 'invalid_reason_length' end as fault from o1),
 o3 as (select row_seq, restaurant, menu, reason, case when fault is null and row_number() over (partition by restaurant, menu, reason, fault is null order by row_seq) > 1 then 'duplicate' else fault end as reject_reason from o2)"""
 FEATURE_FACTS = {c: c for c in ("name", "id", "category", "price_range", "full_address", "average_calories", "average_protein", "average_fiber", "health_score", "fitness_score")}
-IP = "list_sum(list_transform(list_zip(e.embedding, (select embedding from embeddings order by vec_id limit 1)), lambda x: x[1]::double * x[2]::double))"
+#: Every vector whose id 20 divides, against all vectors.
+RANKED = """
+asked as (select vec_id as query_id, embedding as wanted from embeddings where vec_id % 20 = 0),
+s as (select query_id, vec_id, list_sum(list_transform(list_zip(e.embedding, wanted), lambda x: x[1]::double * x[2]::double)) as sc from embeddings e cross join asked),
+b as (select *, row_number() over (partition by query_id order by sc desc, vec_id)::int as rank from s)"""
 ESTIMATED = {c: [i[0] for i in items] for names, items in places.ESTIMATED.items() for c in names}
 
 
@@ -249,16 +253,16 @@ coalesce({comma_items('raw')}[1], 'restaurant') as cuisine from r""",
     "menu_estimates_v2": version_sql(2),
     "document_cuisine_tags": f"with d as (select doc_id, lower(concat_ws(' ', coalesce(source, ''), coalesce(text, ''))) as t from documents) select doc_id, array_to_string({cuisine_list('t', 1)}, ',') as cuisine_tags from d",
     "clean_menus": with_(RAW) + f"select cast(row_number() over (order by row_seq) as varchar) as id, restaurant_id, row_seq, category, name, description, cast(price[2:] as double) as price, {K}, health_level, {TEXT_TAGS} as tags from menus",
-    "clean_venues": with_(RAW) + "select id, name, category, price_range, full_address, zip_code, score, lat, lng, ratings::int as ratings from venues",
-    "first_wins_dedup": "select o_orderkey as row_seq, cast(o_custkey as varchar) as id, o_orderstatus, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderkey) = 1 order by row_seq limit 5000",
+    "clean_venues": with_(RAW) + "select id, name, category, price_range, full_address, zip_code, score, lat, lng, ratings::int as ratings from venues order by row_seq limit 5000",
+    "first_wins_dedup": "select o_orderkey as row_seq, cast(o_custkey as varchar) as id, o_orderstatus, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderkey) = 1",
     "rag_documents": with_(RAW, AGG, f"""l as (select *, row_number() over (partition by restaurant_id order by row_seq) as rn from menus),
 lines as (select restaurant_id, count(*)::int as n, string_agg({fill(documents.MENU_LINE, tags=TEXT_TAGS, **{c: c for c in ('name', 'category', K, P, FI, 'health_level')})}, chr(10) order by row_seq) as menu_text from l where rn <= 8 group by 1),
 f as (select id, name, category, price_range, full_address, average_calories, average_protein, average_fiber, health_score, fitness_score, {json_list('cuisine_tags')} as cuisine_tags, menu_text, n from features join lines on id = restaurant_id)""")
     + f"""select id, 'restaurant_rag_document' as type, id as restaurant_id, name as restaurant_name, category, cuisine_tags, average_calories::varchar as average_calories, average_protein::varchar as average_protein, average_fiber::varchar as average_fiber,
 health_score::varchar as health_score, fitness_score::varchar as fitness_score, n as menu_count_in_document, {fill(documents.DOCUMENT, cuisine_tags='cuisine_tags', menu_text='menu_text', **FEATURE_FACTS)} as text from f""",
-    "ip_topk": f"with s as (select vec_id, {IP} as sc from embeddings e) select row_number() over (order by sc desc, vec_id)::int as rank, vec_id, round(sc, 4) as similarity_score from s order by sc desc, vec_id limit 5",
-    "retrieve_join": with_(RAW, f"s as (select vec_id, {IP} as sc from embeddings e), b as (select *, row_number() over (order by sc desc, vec_id)::int as rank from s)")
-    + "select rank, vec_id as doc_ord, round(sc, 4) as similarity_score, left(d.text, 800) as document_text, coalesce(v.name, c.c_name) as name from b join documents d on d.doc_id = vec_id left join venues v on v.id = cast(vec_id as varchar) left join customer c on c.c_custkey = vec_id where rank <= 20",
+    "ip_topk": with_(RANKED) + "select query_id, rank, vec_id, round(sc, 4) as similarity_score from b where rank <= 5",
+    "retrieve_join": with_(RAW, RANKED)
+    + "select query_id, rank, vec_id as doc_ord, round(sc, 4) as similarity_score, d.text as document_text, coalesce(v.name, c.c_name) as name from b join documents d on d.doc_id = vec_id left join venues v on v.id = cast(vec_id as varchar) left join customer c on c.c_custkey = vec_id where rank <= 20",
     "vector_stats": "select count(*) as n_docs, max(len(embedding))::int as dim, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 4) as max_norm from embeddings",
     "safe_answer": f"""with r as (select *, {strip("text")} as s from conversations),
 a as (select *, case turn when 0 then s when 1 then {strip("coalesce(text, '')")} when 2 then '<s></s> short' else s end as reason from r),
