@@ -6,10 +6,10 @@ versions; a reader opens the newest version and reads just the files it names.
 * :func:`append` writes arrivals as small shards (a file a task, no shuffle).
 * :func:`compact` groups shards by size tier (powers of ``FANOUT`` under the
   target) and rewrites each full run of similarly sized shards into files of
-  about the target size.  Spark's own file reader packs the run's files into
-  tasks of the target size, so merging needs no shuffle either.
-* A version is committed by renaming a finished temporary file to a name that
-  must not exist; of two writers one gets the version and the other tries again
+  about the target size.  The run's read tasks are coalesced into as many as the
+  result has files, so merging needs no shuffle either.
+* A version is committed by renaming a finished temporary file without overwriting
+  (atomic where the file system's rename is, as HDFS's) to a name that must not exist; of two writers one gets the version and the other tries again
   on the newer one.  Files of a failed attempt are never named, so a lost
   executor or driver leaves the last version whole.
 
@@ -27,9 +27,12 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.common import small
+
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 
@@ -85,9 +88,16 @@ class ShardSet:
         finally:
             out.close()
         name = self._path(f"{self.folder}/manifest-{version:08d}.json")
-        if self._fs.exists(name) or not self._fs.rename(temp, name):
+        sc = self.spark.sparkContext
+        files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(name.toUri() if name.toUri().getScheme() else self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        never = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # no option: an existing name stays
+        try:
+            files.rename(temp, name, never)
+        except Py4JJavaError:
             self._fs.delete(temp, False)
-            return False
+            if self._fs.exists(name):
+                return False
+            raise
         return True
 
     def _change(self, gone: set[str], new: list[Shard]) -> int:
@@ -109,39 +119,30 @@ class ShardSet:
         """Arrivals as small shards; returns the committed version."""
         return self._change(set(), self._write(df, self.shards()[0] + 1))
 
-    def _read(self, shards: list[Shard], packed: int | None = None) -> DataFrame:
-        reader = self.spark.read
-        paths = [f"{self.folder}/{s.path}" for s in shards]
-        if packed is None:
-            return reader.parquet(*paths)
-        conf, old = self.spark.conf, {}
-        for k, v in (("spark.sql.files.maxPartitionBytes", packed), ("spark.sql.files.openCostInBytes", 0), ("spark.sql.files.minPartitionNum", 1)):
-            old[k] = conf.get(k, None)
-            conf.set(k, str(v))
-        self._restore = old
-        return reader.parquet(*paths)
+    def _read(self, shards: list[Shard]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.folder}/{s.path}" for s in shards))
 
     def compact(self) -> int:
         """Merge full runs of similarly sized shards until no tier has one; the last version."""
+        packed: set[int] = set()  # tiers that whole files can't pack further
         while True:
             v, now = self.shards()
             runs: dict[int, list[Shard]] = {}
             for s in sorted(now, key=lambda s: (s.born, s.path)):
                 if s.bytes < self.target / 2:
                     runs.setdefault(s.tier, []).append(s)
-            full = {t: run for t, run in runs.items() if len(run) >= self.fanout}
+            full = {t: run for t, run in runs.items() if len(run) >= self.fanout and t not in packed}
             if not full:
                 return v
             tier = min(full)
             run = full[tier]
-            try:
-                merged = self._write(self._read(run, self.target), v + 1)
-            finally:
-                for k, old in self._restore.items():
-                    self.spark.conf.unset(k) if old is None else self.spark.conf.set(k, old)
+            files = max(1, -(-sum(s.bytes for s in run) // self.target))
+            merged = self._write(self._read(run).coalesce(files), v + 1)
             if len(merged) >= len(run):
-                return v  # already as packed as whole files allow
-            v = self._change({s.path for s in run}, merged)
+                self._fs.delete(self._path(f"{self.folder}/{merged[0].path}").getParent(), True)
+                packed.add(tier)
+                continue
+            self._change({s.path for s in run}, merged)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._read(self.shards(version)[1])
@@ -160,8 +161,8 @@ class ShardSet:
 def placed(shards: ShardSet) -> DataFrame:
     """Each document's row id, shard and digest, read back from the newest version."""
     v, now = shards.shards()
-    tiers = F.create_map(*(F.lit(x) for s in now for x in (s.path, s.tier))) if now else F.create_map()
+    tiers = small(shards.spark.createDataFrame([(s.path, s.tier) for s in now], "shard string, tier int"))
     df = shards.read()
     path = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns if c != "doc_id"]
-    return df.select("doc_id", path.alias("shard"), F.xxhash64(*cells).alias("row_hash"), F.lit(v).alias("version")).withColumn("tier", tiers[F.col("shard")])
+    return df.select("doc_id", path.alias("shard"), F.xxhash64(*cells).alias("row_hash"), F.lit(v).alias("version")).join(tiers, "shard", "left").select("doc_id", "shard", "row_hash", "version", "tier")

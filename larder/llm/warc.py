@@ -73,26 +73,27 @@ def resolved(captures: DataFrame) -> DataFrame:
     "resolved", "no_earlier", "mismatch", "no_validator" or "other"; ``digest``
     and ``headers`` of a resolved revisit are its source's and the merged ones.
     """
+    u = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in captures.columns), default=0))  # begins no column's name
     named = captures.withColumn("canonical_url", canonical_url(F.col("url")))
     full = (F.col("status") == 200) & (F.col("canonical_url") != "")
     mine = F.when(full, F.struct(F.col("record_id").alias("id"), F.col("date").alias("at"), F.col("headers").alias("kept"), F.col("digest").alias("body")))
     # ranges are written down, so that a recomputed task finds the same ones
-    ranged = named.withColumn("_full", mine).repartitionByRange("canonical_url", "date", "record_id")
-    ranged = staged(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
-    own = Window.partitionBy("canonical_url", "_range").orderBy("date", "record_id")
-    inner = ranged.withColumn("_near", F.last("_full", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
-    latest = ranged.where("_full is not null").groupBy("canonical_url", "_range").agg(F.max_by("_full", F.struct("date", "record_id")).alias("_far"))
-    spans = ranged.select("canonical_url", "_range").distinct().join(latest, ["canonical_url", "_range"], "left")
-    over = Window.partitionBy("canonical_url").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.withColumn("_far", F.last("_far", ignorenulls=True).over(over)).where("_far is not null")
-    both = inner.join(carried, ["canonical_url", "_range"], "left").withColumn("_source", F.coalesce("_near", "_far"))
-    source = lambda f: F.col(f"_source.{f}")
+    ranged = named.withColumn(u + "full", mine).repartitionByRange("canonical_url", "date", "record_id")
+    ranged = staged(ranged.withColumn(u + "range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("canonical_url", u + "range").orderBy("date", "record_id")
+    inner = ranged.withColumn(u + "near", F.last(u + "full", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    latest = ranged.where(F.col(u + "full").isNotNull()).groupBy("canonical_url", u + "range").agg(F.max_by(u + "full", F.struct("date", "record_id")).alias(u + "far"))
+    spans = ranged.select("canonical_url", u + "range").distinct().join(latest, ["canonical_url", u + "range"], "left")
+    over = Window.partitionBy("canonical_url").orderBy(u + "range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn(u + "far", F.last(u + "far", ignorenulls=True).over(over)).where(F.col(u + "far").isNotNull())
+    both = inner.join(carried, ["canonical_url", u + "range"], "left").withColumn(u + "source", F.coalesce(u + "near", u + "far"))
+    source = lambda f: F.col(f"{u}source.{f}")
     tag = lambda h: F.regexp_replace(header(h, "etag"), "^W/", "")
     same_tag = tag(F.col("headers")) == tag(source("kept"))
     same_time = header(F.col("headers"), "last-modified") == header(source("kept"), "last-modified")
     agrees = F.coalesce(same_tag, same_time)
     verdict = (
-        F.when(full, "full").when((F.col("status") != 304) | F.col("status").isNull(), "other").when((F.col("canonical_url") == "") | F.col("_source").isNull(), "no_earlier")
+        F.when(full, "full").when((F.col("status") != 304) | F.col("status").isNull(), "other").when((F.col("canonical_url") == "") | F.col(u + "source").isNull(), "no_earlier")
         .when(agrees.isNull(), "no_validator").when(agrees, "resolved").otherwise("mismatch")
     )
     both = both.withColumn("verdict", verdict)
@@ -101,7 +102,7 @@ def resolved(captures: DataFrame) -> DataFrame:
         "source_id": F.when(ok, source("id")), "source_date": F.when(ok, source("at")),
         "digest": F.when(ok, source("body")).otherwise(F.col("digest")),
         "headers": F.when(ok, merged_headers(source("kept"), F.col("headers"))).otherwise(F.col("headers")),
-    }).drop("_full", "_range", "_near", "_far", "_source")
+    }).drop(u + "full", u + "range", u + "near", u + "far", u + "source")
 
 
 def with_payload(found: DataFrame, payloads: DataFrame) -> DataFrame:

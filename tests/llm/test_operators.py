@@ -277,3 +277,107 @@ def test_warc_files(spark, tmp_path):
     assert sorted(tuple(r) for r in warc.records(spark, f"file://{tmp_path}/w").collect()) == sorted((*r[:5], bytearray(r[5])) for r in rows)
     (tmp_path / "x.warc").write_bytes(b"".join(warc.record_bytes(*r) for r in rows) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut")
     assert warc.records(spark, f"file://{tmp_path}/x.warc").count() == 2
+
+
+def test_word_hashes_against_a_regular_expression(monkeypatch):
+    from larder.llm import words
+
+    r = random.Random(1)
+    for step in (7, 1 << 16):  # steps that cut words too
+        monkeypatch.setattr(words, "STEP", step)
+        for _ in range(60):
+            texts = ["".join(r.choice("aB \n\té日") for _ in range(r.randrange(60))) for _ in range(r.randrange(5))]
+            found, n = words.hashed(texts)
+            want = [re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for t in texts]
+            assert n.tolist() == [len(w) for w in want]
+            known: dict = {}
+            for w, h in zip((w for ws in want for w in ws), found.tolist(), strict=True):
+                assert known.setdefault(w, h) == h
+            assert len(set(known.values())) == len(known)
+
+
+def test_near_duplicates_without_ids_and_of_shared_ids(spark):
+    a, b, c = (text(900 + i, 120) for i in range(3))
+    near = a.replace(a.split()[5], "other", 1)
+    rows = [(None, a), (None, near), (7, b), (7, c), (8, c + " more"), (8, c + " more"), (9, b.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.lit(1), "_again": F.lit(2), "n": F.lit(3), "t": F.lit(4), "row": F.lit(5)})
+    got = sorted(((r["doc_id"], r["class_id"], r["copy_of"]) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, None, None), (None, None, None), (7, 7, 7), (7, 7, 7), (8, 7, 8), (8, 7, 8), (9, 7, 7)], key=str)
+    left = near_dedup.deduplicated(docs)
+    assert left.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in left.collect())
+    assert [i for i, _ in kept] == [0, 7, 7] and {t for _, t in kept[1:]} == {b, c}
+
+
+def test_a_large_group_of_near_copies_is_one_class(spark):
+    base = text(77, 150).split()
+    rows = []
+    for i in range(600):
+        w, r = list(base), random.Random(i)
+        for _ in range(r.randrange(6)):
+            del w[r.randrange(len(w))]
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: near_dedup.shingles(t) for i, t in rows}
+    for i in range(0, 600, 3):  # each has a link wherever brute force finds one
+        near = [j for j in range(600) if j != i and near_dedup.probability_jaccard(sets[i], sets[j]) >= 0.8]
+        assert all(got[j] == got[i] for j in near)
+
+
+def test_spans_of_texts_that_share_an_id(spark):
+    shared = text(31, 60)
+    rows = [(1, f"{text(32, 60)} {shared}"), (2, f"{shared} {text(33, 60)}"), (2, text(34, 200)), (3, text(35, 80)), (3, text(35, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_gone": F.lit(1), "_cuts": F.lit(2), "cuts": F.lit(3)})
+    left = substring_dedup.deduplicated(docs)
+    assert left.columns == docs.columns
+    kept = [r["text"] for r in left.collect()]
+    assert len(kept) == 4 and text(34, 200) in kept and kept.count(text(35, 80)) == 1 and sum(shared in t for t in kept) == 1
+
+
+def test_html_repeats_decide(spark):
+    foot = "All contents belong to the host and its many friends"
+    open_pages = [(i, "http://o.org/", f"<div>Home</div><div>{text(600 + i, 60)}</div><div>{foot}</div>") for i in range(4)]
+    links = " ".join(f"<a href='/{i}'>see the page number {i} of ours</a>" for i in range(6))
+    declared = [(10 + i, "http://d.org/", f"<article><p>{text(700 + i, 80)}</p><p>{links}</p></article>") for i in range(4)]
+    copies = [(20 + i, "http://c.org/", f"<div>{text(800, 90)}</div>") for i in range(2)]
+    quoted = [(30 + i, "http://q.org/", f"<article><p>{text(820, 40)}</p><p>{text(830 + i, 80)}</p></article>") for i in range(2)]
+    pages = spark.createDataFrame(open_pages + declared + copies + quoted, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()}
+    assert all(got[i] == text(600 + i, 60) for i in range(4))  # menu and footer are too short for a suffix
+    assert all(got[10 + i] == text(700 + i, 80) for i in range(4))  # links that every page repeats, inside its article
+    assert all(got[20 + i] == text(800, 90) for i in range(2))  # copies of a page are no boilerplate
+    assert all(got[30 + i] == f"{text(820, 40)}\n{text(830 + i, 80)}" for i in range(2))  # nor is a quoted passage
+
+
+def test_revisits_keep_columns_with_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", "x"), (2, "http://a.org/", "y")], "page_id long, url string, html string")
+    plain = warc.page_captures(pages)
+    odd = plain.withColumns({c: F.lit(c) for c in ("_full", "_range", "_near", "_far", "__source")})
+    got = warc.resolved(odd)
+    assert set(got.columns) == set(warc.resolved(plain).columns) | {"_full", "_range", "_near", "_far", "__source"}
+    assert all(r["_full"] == "_full" and r["__source"] == "__source" for r in got.collect())
+
+
+def test_one_of_two_writers_gets_a_version(spark, tmp_path):
+    a, b = (sharding.ShardSet(spark, f"file://{tmp_path}/two") for _ in range(2))
+    a.append(spark.range(3))
+    v, now = b.shards()
+    assert a._commit(v + 1, now) and not b._commit(v + 1, [])
+    assert b.shards() == (v + 1, now) and b.append(spark.range(3, 5)) == v + 2
+    assert a.read().count() == 5
+
+
+def test_a_tier_that_cannot_be_packed_does_not_stop_the_others(spark, tmp_path, monkeypatch):
+    shards = sharding.ShardSet(spark, f"file://{tmp_path}/tiers", target=1 << 20)
+    for k in range(4):
+        shards.append(spark.range(k, k + 1).coalesce(1))
+    real, calls = shards._write, []
+
+    def write(df, born):
+        calls.append(born)
+        return [s for _ in range(4) for s in real(df, born)] if len(calls) == 1 else real(df, born)
+
+    monkeypatch.setattr(shards, "_write", write)
+    before = len(list((tmp_path / "tiers").glob("data-*")))
+    shards.compact()
+    assert shards.read().count() == 4 and len(list((tmp_path / "tiers").glob("data-*"))) >= before
