@@ -32,8 +32,8 @@ SEQUENCE = 2048
 END = 0
 #: Pieces in a group, about; a group is one task's work.
 GROUP = 40_000
-#: Words whose ids a Python worker remembers in each of two generations, and the longest of them: some 10 MB.
-REMEMBERED, LONGEST = 40_000, 48
+#: Words whose ids a Python worker remembers in each of two generations, and the longest of them: some 60 MB in all.
+REMEMBERED, LONGEST = 200_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
