@@ -26,7 +26,8 @@ class Profile:
     activity: object = "medium"
     goal: object = "gain-muscle"
     meal_type: object = "healthy"
-    favourites: Sequence[str] = field(default=("Healthy", "Sushi"))
+    favourites: Sequence[str] | Column = field(default=("Healthy", "Sushi"))
+    known: Targets | None = None  # targets that are columns already
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,8 @@ def d(x: float) -> Column:
 
 def targets(p: Profile) -> Targets:
     """Daily targets and the budget of one meal; a height of 0 has no body mass index."""
+    if p.known is not None:
+        return p.known
     height, weight, age = (value(x).cast("double") for x in (p.height, p.weight, p.age))
     goal = value(p.goal)
     metre = height / d(100)

@@ -169,7 +169,11 @@ def place_cuisine(text: Column) -> Column:
     return first_match(F.lower(text), PLACE_CUISINES, "General")
 
 
-def cuisine_matches(favourites: Sequence[str], *fields: Column) -> Column:
-    """Whether a word for any favourite stands in the joined fields; no favourites match nothing."""
+def cuisine_matches(favourites: Sequence[str] | Column, *fields: Column) -> Column:
+    """Whether a word for any favourite stands in the joined fields; no favourites, or null ones, match nothing."""
+    if isinstance(favourites, Column):
+        low, text = F.transform(favourites, lambda f: F.lower(F.trim(f))), joined(*fields)
+        listed = reduce(or_, (F.array_contains(low, name) & any_word(text, words) for name, words in ALIASES.items()))
+        return F.coalesce(listed, F.lit(False)) | F.coalesce(F.exists(low, lambda f: ~f.isin(*ALIASES) & F.contains(text, f)), F.lit(False))
     known = [w for f in favourites for w in ALIASES.get(f.strip().lower(), (f.strip().lower(),))]
     return any_word(joined(*fields), known) if known else F.lit(False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +181,25 @@ def valid_sample(restaurant: Column, menu: Column, output: Column) -> Column:
     return (restaurant != "") & (menu != "") & F.contains(output, restaurant) & F.contains(output, menu) & F.contains(output, F.lit("Recommended Reason:"))
 
 
+def validated(rows: DataFrame, explanation: Column) -> DataFrame:
+    """Adds ``output`` and ``valid`` to evaluated rows; a null explanation is a failed generation."""
+    out = filled(SAMPLE, explanation=explanation, **facts())
+    good = explanation.isNotNull() & valid_sample(F.col("restaurant_name"), F.col("menu_name"), out)
+    return rows.withColumns({"output": out, "valid": F.coalesce(good, F.lit(False))})
+
+
+def generated(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` valid rows of a validated table; ``order`` is ascending and tells all rows apart."""
+    return rows.where("valid").orderBy(*order).limit(most)
+
+
+def generation_report(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """One row: valid samples taken, and failures met before the last of them (all of them where fewer than ``most`` are valid)."""
+    taken = generated(rows, most, *order).agg(F.count("*").alias("_taken"), F.max(F.struct(*order)).alias("_last"))
+    met = ~F.col("valid") & ((F.col("_taken") < most) | (F.struct(*order) < F.col("_last")))
+    return rows.select("valid", *order).join(F.broadcast(taken)).agg(F.coalesce(F.max("_taken"), F.lit(0)).alias("generated_samples"), F.count_if(met).alias("failed_samples"))
+
+
 def judged(rows: DataFrame, least: int = 50, most: int = 1200) -> DataFrame:
     """Adds restaurant, menu, reason and reject_reason (null: passes) to rows with ``output`` and ``row_seq``.
 
@@ -219,8 +239,6 @@ def tokenizer(path: str):
 
 def tokenised(rows: DataFrame, column: str, length: int, tokenizer_path: str) -> DataFrame:
     """Adds input_ids, attention_mask and labels (-100 where padded), cut and padded to ``length``."""
-    import pandas as pd
-
     @F.pandas_udf("struct<input_ids: array<int>, attention_mask: array<int>, labels: array<int>>")
     def encode(texts: pd.Series) -> pd.DataFrame:
         ids = [e.ids[:length] for e in tokenizer(tokenizer_path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import nutrition as N
@@ -50,8 +50,8 @@ def menu_health(venues: DataFrame) -> DataFrame:
 
 
 def matched(venues: DataFrame, profile: N.Profile) -> DataFrame:
-    """Adds items, best, health, the parts of the match score, and the score itself."""
-    df = menu_health(best_items(scored_items(venues, profile), profile))
+    """Adds items, best, health (unless it is there), the parts of the match score, and the score itself."""
+    df = best_items(scored_items(venues if "health" in venues.columns else menu_health(venues), profile), profile)
     mean = F.aggregate("best", F.lit(0.0), lambda a, x: a + x["score"]) / F.greatest(F.size("best"), F.lit(1)).cast("double")
     meal = N.value(profile.meal_type)
     df = df.withColumns({
@@ -68,6 +68,40 @@ def ranked(venues: DataFrame, profile: N.Profile, order: str = "id") -> DataFram
     return matched(venues, profile).orderBy(F.desc("match_score"), order)
 
 
+#: Profiles that are broadcast at once.
+BLOCK_PROFILES = 1024
+
+
+def ranked_each(venues: DataFrame, people: DataFrame, profile: N.Profile, key: str, n: int = 3, order: str = "id") -> DataFrame:
+    """The n best venues of every person: key, rank, ``order`` and match_score; ties in the given order.
+
+    ``profile`` names columns of ``people``.  People come in broadcast blocks and
+    venues are dealt by number over all cores, as the work is in pairs and not in
+    bytes; what depends on one side alone is made before the two meet, and each
+    task keeps n venues a person before the shuffle.
+    """
+    names = ("goal", "meal_type", "favourites")
+    asked = people.select(F.col(key).alias("_key"), F.struct(*(N.value(getattr(profile, c)).alias(c) for c in names)).alias("_p"), F.struct(*N.targets(profile).columns()).alias("_t"))
+    known = N.Targets(**{c: F.col(f"_t.{c}") for c in N.Targets.__dataclass_fields__})
+    one = N.Profile(**{c: F.col(f"_p.{c}") for c in names}, known=known)
+    spots = menu_health(venues).select(F.col(order).alias("_order"), "menu", "health", "cuisine", "category", "tags", "meal_type")
+    spots = spots.repartition(max(venues.sparkSession.sparkContext.defaultParallelism, 1), "_order")
+    blocks = max(1, -(-people.count() // BLOCK_PROFILES))
+    best = Window.partitionBy("_key").orderBy(F.desc("match_score"), "_order")
+    out = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b)
+        pairs = matched(spots.join(F.broadcast(part)), one).select("_key", "_order", "match_score")
+        top = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+        out = top if out is None else out.unionByName(top)
+    return out.select(F.col("_key").alias(key), "rank", F.col("_order").alias(order), "match_score")
+
+
+def top_reasons(n: int = 2) -> Column:
+    """The first n positive reasons of a matched row."""
+    return F.slice(F.filter(match_reasons(), lambda r: r["type"] == "positive"), 1, n)
+
+
 def match_reasons() -> Column:
     """Reasons of a matched row: (label, points, type)."""
     h = F.col("health.score")
@@ -90,7 +124,10 @@ def meal_recommendation(profile: N.Profile) -> dict[str, Column]:
     b, meal = N.targets(profile).budget, N.value(profile.meal_type)
     gap = F.col("average_calories").cast("double") - b
     when = lambda c, s: F.when(c, F.lit(s))
-    liked = F.lower("cuisine").isin(*(f.lower() for f in profile.favourites)) if profile.favourites else F.lit(False)
+    if isinstance(profile.favourites, Column):
+        liked = F.array_contains(F.transform(profile.favourites, F.lower), F.lower("cuisine"))
+    else:
+        liked = F.lower("cuisine").isin(*(f.lower() for f in profile.favourites)) if profile.favourites else F.lit(False)
     # The reasons' wording.
     found = rules.present(
         when(F.abs(gap) <= 150, "Calories are close to your suggested meal budget."), when(gap > 150, "This meal may be higher than your suggested meal budget."),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from larder.functions import rules
 from larder.operators import curate, documents, places
-from larder.plans.views import CUISINES, DISHES, SECTIONS
+from larder.plans.views import CUISINES, DISHES, FAVOURITES, MEALS, SECTIONS
 
 BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -197,6 +197,35 @@ MATCHED = f"""
 best as (select id, least(50::double, sum(score) / count(*) * 0.5::double) as menu_part from top where rank <= 2 group by id),
 matched as (select s.id, s.cuisine, s.meal_type, h.score as h, menu_part, least(20::double, h.score * 0.2::double) as health_part, case when {LIKED} then 15.0::double else 0.0::double end as cuisine_part,
   case when meal_type = 'healthy' then 15.0::double else 0.0::double end as meal_part from spots s join best using (id) join healths h using (id))"""
+PEOPLE = f"people as (select c_custkey, (c_custkey % 60 + 140)::double as height, (c_custkey % 70 + 45)::double as weight, (c_custkey % 50 + 18)::double as age, {pick(('male', 'female'), 'c_custkey')} as gender, {pick(('low', 'medium', 'high'), 'c_custkey')} as activity, {pick(('lose-fat', 'maintain', 'gain-muscle', 'maintain', 'lose-fat'), 'c_custkey')} as goal, {pick(MEALS, 'c_custkey')} as meal from customer)"
+SPOT_TEXT = f"lower(cuisine || ' ' || category || ' ' || array_to_string({SPOT_TAGS}, ' '))"
+WANTED = {i: [w for f in fs for w in rules.ALIASES.get(f.strip().lower(), (f.strip().lower(),))] for i, fs in enumerate(FAVOURITES)}
+LIKED_BY = f"case c_custkey % {len(FAVOURITES)} " + " ".join(f"when {i} then {has(SPOT_TEXT, ws) if ws else 'false'}" for i, ws in WANTED.items()) + " end"
+#: Every customer whose number 20 divides, against all venues.
+MATCHED_EACH = f"""
+best as (select c_custkey, id, any_value(meal) as meal, least(50::double, sum(score) / count(*) * 0.5::double) as menu_part from top where rank <= 2 group by c_custkey, id),
+matched as (select c_custkey, id, {up(f"menu_part + least(20::double, h.score * 0.2::double) + case when {LIKED_BY} then 15 else 0 end + case when meal_type = meal then 15 when meal = 'normal' then 8 else 0 end")} as match_score
+  from spots s join best using (id) join healths h using (id))"""
+GAIN = "least(p / gp, 1) * 18 + case when c >= b - 150 then 7 else greatest(0, c / greatest(b - 150, 1) * 7) end + case when cb >= 40 then 5 else least(cb / 40, 1) * 5 end"
+LOSE = "case when c <= b then 10 else greatest(0, 10 * (1 - (c - b) / greatest(b, 1))) end + least(p / gp, 1) * 10 + least(fi / gf, 1) * 10"
+KEEP = "greatest(0, 1 - abs(c - b) / greatest(b, 1)) * 15 + least(p / gp, 1) * 8 + case when ft <= 30 and cb >= 30 then 7 else 4 end"
+#: The scores of one person who gains muscle, widened to every person and goal.
+SCORED_EACH = SCORED
+for one, each in (
+    ("select f.*, g.kcal", "select f.*, g.c_custkey, g.kcal"), ("partition by id", "partition by c_custkey, id"), (GAIN, f"case want when 'lose-fat' then {LOSE} when 'gain-muscle' then {GAIN} else {KEEP} end"),
+    ("0.35::double", "(case want when 'maintain' then 0.30 else 0.35 end)::double"), ("0.45::double", "(case want when 'lose-fat' then 0.35 when 'gain-muscle' then 0.45 else 0.40 end)::double"), ("0.20::double", "(case want when 'gain-muscle' then 0.20 else 0.30 end)::double"),
+):
+    assert SCORED_EACH.count(one) == 1
+    SCORED_EACH = SCORED_EACH.replace(one, each)
+TRIED = f"""
+chosen as (select *, md5('42|' || menu_id || '|' || goal || '|' || template) as turn from requests where menu_id in (select menu_id from picked) qualify row_number() over (partition by restaurant_id, menu_id, structured_input order by goal, template) = 1),
+tried as (select *, menu_id::bigint % 3 <> 0 as valid, row_number() over (order by {P} desc, {FI} desc, {K}, menu_id, turn) as pos from chosen qualify row_number() over (partition by menu_id order by turn) <= 5),
+taken as (select * from tried where valid order by pos limit 150)"""
+REASONS = f"""rs as (select id, {present(f"{{'label': 'Recommended menu quality', 'points': {up('menu_part')}, 'type': 'positive'}}",
+        f"{{'label': 'Menu nutrition quality (' || h::bigint || '/100)', 'points': {up('health_part')}, 'type': case when h >= 70 then 'positive' else 'neutral' end}}",
+        "case when cuisine_part > 0 then {'label': 'Matches your favorite cuisine', 'points': 15.0::double, 'type': 'positive'} end",
+        "case when meal_part > 0 then {'label': 'Matches your selected meal type', 'points': 15.0::double, 'type': 'positive'} end",
+        "{'label': case when h >= 85 then 'Excellent overall menu health' when h >= 70 then 'Good overall menu health' when h >= 55 then 'Average overall menu health' else 'Menu nutrition quality could be improved' end, 'points': 0.0::double, 'type': case when h >= 70 then 'positive' when h >= 55 then 'neutral' else 'negative' end}")} as r from matched)"""
 REC = present(
     "case when abs(gap) <= 150 then 'Calories are close to your suggested meal budget.' end", "case when gap > 150 then 'This meal may be higher than your suggested meal budget.' end",
     "case when gap < -150 then 'This meal is lighter than your suggested meal budget.' end", "case when protein_score >= 80 then 'This restaurant is strong for protein.' end",
@@ -280,21 +309,21 @@ when {K} <= 500 then 'I want a low-calorie ' || restaurant_category || ' meal un
     "teacher_prompt": with_(RAW, ITEMS, EXPANDED, JUDGED) + f"""select menu_id, structured_input as input, {fill(curate.SAMPLE, explanation="'because'", **FACTS)} as output, {K}::double as kcal, overall_match as label,
 {fill(curate.TEACHER, structured_input='structured_input', restaurant_category=strip('restaurant_category'), menu_category=strip('menu_category'), tags=TEXT_TAGS, report=REPORT, **FACTS)} as prompt from labelled where template = 0""",
     "request_choice": with_(RAW, ITEMS, EXPANDED) + "select menu_id, goal, template::int as template from requests qualify row_number() over (partition by menu_id order by md5('42|' || menu_id || '|' || goal || '|' || template)) <= 5",
+    "valid_samples": with_(RAW, ITEMS, EXPANDED, TRIED) + f"select menu_id, goal, template::int as template, {fill(curate.SAMPLE, explanation="'It serves ' || goal || '.'", **FACTS)} as output from taken",
+    "generation_report": with_(RAW, ITEMS, EXPANDED, TRIED) + "select (select count(*) from taken) as generated_samples, (select count(*) from tried where not valid and ((select count(*) from taken) < 150 or pos < (select max(pos) from taken))) as failed_samples",
+    "profile_ranking": with_(RAW, PEOPLE.replace("from customer)", "from customer where c_custkey % 20 = 0)"), TARGETS, NESTED, SCORED_EACH, HEALTH, MATCHED_EACH) + "select c_custkey, row_number() over (partition by c_custkey order by match_score desc, id)::int as rank, id, match_score from matched qualify rank <= 3",
+    "top_reasons": with_(RAW, ME, TARGETS, NESTED, SCORED, HEALTH, MATCHED, REASONS, "w as (select id, list_filter(r, lambda x: x.type = 'positive')[1:2] as r from rs), u as (select id, unnest(range(len(r)))::int as pos, unnest(r) as x from w)") + "select id, pos, x.label as label, x.points as points from u",
+    "top_evidence": with_(RANKED) + "select query_id, rank, doc_id as doc_ord, text as document_text from b join documents on doc_id = vec_id where rank <= 20 qualify row_number() over (partition by query_id order by rank) <= 3",
     "dataset_filter": with_(OUTPUTS) + "select * from o3",
     "filter_report": with_(OUTPUTS) + "select count(*) as total_samples, count(*) filter (reject_reason is null) as valid_samples, " + ", ".join(f"count(*) filter (reject_reason = '{r}') as {r}" for r in ("missing_restaurant", "missing_menu", "missing_reason", "invalid_reason_length", "duplicate")) + " from o3",
     "seeded_sample": "select p_partkey, p_name from part order by md5('7|' || p_partkey), p_partkey limit 50",
-    "nutrition_targets": with_(f"people as (select c_custkey, (c_custkey % 60 + 140)::double as height, (c_custkey % 70 + 45)::double as weight, (c_custkey % 50 + 18)::double as age, {pick(('male', 'female'), 'c_custkey')} as gender, {pick(('low', 'medium', 'high'), 'c_custkey')} as activity, {pick(('lose-fat', 'maintain', 'gain-muscle', 'maintain', 'lose-fat'), 'c_custkey')} as goal from customer)", TARGETS)
+    "nutrition_targets": with_(PEOPLE, TARGETS)
     + "select c_custkey, bmi, bmr, tdee, kcal, protein, carbs, fat, fiber, budget from goals",
     "menu_scores": with_(RAW, ME, TARGETS, NESTED, SCORED) + "select id, cast(row_seq as varchar) as item_id, quality, goal_points as goal, calories, macro, score from summed",
     "top2_menu": with_(RAW, ME, TARGETS, NESTED, SCORED) + f"select id, rank::int as rank, cast(row_seq as varchar) as item_id, score, array_to_string({WHY}, '|') as reasons from top where rank <= 2",
     "restaurant_health": with_(RAW, NESTED, HEALTH) + "select * from healths",
     "match_score": with_(RAW, ME, TARGETS, NESTED, SCORED, HEALTH, MATCHED) + f"select id, cuisine, meal_type, menu_part, health_part, cuisine_part, meal_part, {up('menu_part + health_part + cuisine_part + meal_part')} as match_score from matched",
-    "match_reasons": with_(RAW, ME, TARGETS, NESTED, SCORED, HEALTH, MATCHED, f"""rs as (select id, {present(f"{{'label': 'Recommended menu quality', 'points': {up('menu_part')}, 'type': 'positive'}}",
-        f"{{'label': 'Menu nutrition quality (' || h::bigint || '/100)', 'points': {up('health_part')}, 'type': case when h >= 70 then 'positive' else 'neutral' end}}",
-        "case when cuisine_part > 0 then {'label': 'Matches your favorite cuisine', 'points': 15.0::double, 'type': 'positive'} end",
-        "case when meal_part > 0 then {'label': 'Matches your selected meal type', 'points': 15.0::double, 'type': 'positive'} end",
-        "{'label': case when h >= 85 then 'Excellent overall menu health' when h >= 70 then 'Good overall menu health' when h >= 55 then 'Average overall menu health' else 'Menu nutrition quality could be improved' end, 'points': 0.0::double, 'type': case when h >= 70 then 'positive' when h >= 55 then 'neutral' else 'negative' end}")} as r from matched),
-u as (select id, unnest(range(len(r)))::int as pos, unnest(r) as x from rs)""") + "select id, pos, x.label as label, x.points as points, x.type as type from u",
+    "match_reasons": with_(RAW, ME, TARGETS, NESTED, SCORED, HEALTH, MATCHED, REASONS, """u as (select id, unnest(range(len(r)))::int as pos, unnest(r) as x from rs)""") + "select id, pos, x.label as label, x.points as points, x.type as type from u",
     "meal_recommendation": with_(RAW, ME, TARGETS, NESTED, "m as (select s.*, average_calories - budget as gap, budget, meal from spots s, goals)") + f"select id, average_calories as calories, {up('protein_score / 100::double * 55::double')} as protein, 'Your suggested meal budget is about ' || budget::bigint || ' kcal.' as message, array_to_string({REC}, '|') as reasons from m",
     "places_adapter": f"""with p as (select lower(regexp_replace('Ab_places/' || p_name, '[^A-Za-z0-9_-]', '-', 'g')) as id, case when p_size % 5 <> 0 then {pick(DISHES, 'p_partkey')} || ' House' else 'Unknown Restaurant' end as name,
 case when p_size % 4 <> 0 then array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') else 'Restaurant' end as category from part),

@@ -126,6 +126,15 @@ def retrieve_join(spark, sf):
     return found.select("query_id", "rank", "doc_ord", F.round("similarity_score", 4).alias("similarity_score"), "document_text", F.col("database_record.name").alias("name"))
 
 
+@query
+def top_evidence(spark, sf):
+    """The first three pieces of evidence that a search shows."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ord"), F.col("doc_id").cast("string").alias("restaurant_id"), F.col("text").alias("document_text"))
+    vecs = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_ord")
+    found = vectors.retrieved(vectors.top_k_each(vecs, probes(spark, sf).withColumnRenamed("vec_id", "doc_ord"), 20), docs, [views.venues(spark, sf).select("id", "name")])
+    return features.first_rows(found, ["query_id"], ["rank"], 3).select("query_id", "rank", "doc_ord", "document_text")
+
+
 @query
 def vector_stats(spark, sf):
     e = table(spark, sf, "embeddings")
@@ -194,6 +203,30 @@ def request_choice(spark, sf):
     return curate.chosen_requests(requests(spark, sf)).select("menu_id", "goal", "template")
 
 
+TRIED = ("low_protein", "low_fiber", "estimated_calories", "menu_id", "turn")
+MAX_SAMPLES = 150
+
+
+def tried(spark, sf):
+    """Requests in the generator's order; generation fails where 3 divides the item's number."""
+    menus = curate.candidates(views.items(spark, sf), views.venues(spark, sf))
+    asked = curate.chosen_requests(curate.expanded(menus))
+    why = F.when(F.col("menu_id").cast("long") % 3 != 0, F.concat(F.lit("It serves "), "goal", F.lit(".")))
+    rows = curate.validated(asked, why)
+    return rows.withColumns({"low_protein": -F.col("estimated_protein"), "low_fiber": -F.col("estimated_fiber"), "turn": curate.seeded_order("menu_id", "goal", "template", seed=42)})
+
+
+@query
+def valid_samples(spark, sf):
+    """The first 150 samples that are valid: the stop is the operator."""
+    return curate.generated(tried(spark, sf), MAX_SAMPLES, *TRIED).select("menu_id", "goal", "template", "output")
+
+
+@query
+def generation_report(spark, sf):
+    return curate.generation_report(tried(spark, sf), MAX_SAMPLES, *TRIED)
+
+
 @query
 def dataset_filter(spark, sf):
     return curate.judged(views.outputs(spark, sf)).select("row_seq", "restaurant", "menu", "reason", "reject_reason")
@@ -246,6 +279,20 @@ def match_reasons(spark, sf):
     return df.select("id", "pos", "x.*")
 
 
+@query
+def top_reasons(spark, sf):
+    """The first two positive reasons of each venue."""
+    df = ranking.matched(views.nested(spark, sf), views.PROFILE).select("id", F.posexplode(ranking.top_reasons()).alias("pos", "x"))
+    return df.select("id", "pos", "x.label", "x.points")
+
+
+@query
+def profile_ranking(spark, sf):
+    """The three best venues, out of all, for every customer whose number 20 divides."""
+    people, profile = views.customer_profiles(spark, sf)
+    return ranking.ranked_each(views.nested(spark, sf), people.where("c_custkey % 20 = 0"), profile, "c_custkey")
+
+
 @query
 def meal_recommendation(spark, sf):
     rec = ranking.meal_recommendation(views.PROFILE)

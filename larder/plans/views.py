@@ -90,6 +90,10 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILE = Profile()
 
 
+MEALS = ("healthy", "cheat", "normal")
+FAVOURITES = (("Healthy", "Sushi"), (" Burger",), ("italian", "Indian"), (), ("Thai", "korean "))
+
+
 def customer_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Profile]:
     """Every customer as a profile."""
     c = table(spark, sf_dir, "customer")
@@ -97,8 +101,9 @@ def customer_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Prof
     cols = c.select(
         "c_custkey", (key % 60 + 140).cast("double").alias("height"), (key % 70 + 45).cast("double").alias("weight"), (key % 50 + 18).cast("double").alias("age"),
         pick(("male", "female"), key).alias("gender"), pick(("low", "medium", "high"), key).alias("activity"), pick(("lose-fat", "maintain", "gain-muscle", "maintain", "lose-fat"), key).alias("goal"),
+        pick(MEALS, key).alias("meal_type"), F.element_at(F.array(*(F.array(*map(F.lit, f)).cast("array<string>") for f in FAVOURITES)), (key % len(FAVOURITES)).cast("int") + 1).alias("favourites"),
     )
-    return cols, Profile(*(F.col(x) for x in ("height", "weight", "age", "gender", "activity", "goal")))
+    return cols, Profile(*(F.col(x) for x in ("height", "weight", "age", "gender", "activity", "goal", "meal_type", "favourites")))
 
 
 def events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:

@@ -82,6 +82,12 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_ord long, embedding array<float>").parquet(path)
 
 
+def vectors_exist(spark: SparkSession, path: str) -> bool:
+    """Whether vectors were written to the path and their write was finished."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def places(spark: SparkSession, path: str) -> DataFrame:
     """External place records from JSON files of the service's answers; a missing list has no places."""
     place = "struct<id: string, displayName: struct<text: string>, formattedAddress: string, primaryType: string>"
@@ -94,6 +100,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/table-{name}-{uuid.uuid4().hex}"
