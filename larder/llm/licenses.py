@@ -132,3 +132,46 @@ def licenses(docs: DataFrame, wordings=WORDINGS, phrases=PHRASES) -> DataFrame:
         F.greatest(F.coalesce("covered", F.lit(0.0)), F.when(F.size("all") > 0, NAMED).otherwise(0.0)).alias("score"),
         F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first"].cast("string"), s["last"].cast("string"))), ","), F.lit("")).alias("spans"),
     )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _ahead(k: int) -> str:
+    return f"lead(w, {k}) over (partition by rid order by p)" if k else "w"
+
+
+def _stands(phrase: str) -> str:
+    """Whether a phrase starts at the word."""
+    return "coalesce(" + " and ".join(f"{_ahead(k)} = {_quoted(w)}" for k, w in enumerate(phrase.split())) + ", false)"
+
+
+#: Equal SQL: grams are compared as words, not as hashes, and rows are told apart by number.
+ORACLE = rf"""
+with wording as (select * from (values {", ".join(f"({n}, {_quoted(label)}, {_quoted(text)})" for n, (label, text) in enumerate(WORDINGS))}) as t(wording, label, text)),
+texts as (select row_number() over () as rid, doc_id, null::int as wording, null as label, coalesce(text, '') as text from documents
+          union all select -1 - wording, null, wording, label, text from wording),
+split as (select rid, doc_id, wording, label, list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from texts),
+word as (select rid, wording, label, len(ws) - 2 as places, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as p from split),
+place as (select rid, wording, label, places, p, w || ' ' || {_ahead(1)} || ' ' || {_ahead(2)} as gram, {", ".join(f"{_stands(p)} as s{i}" for i, (p, _) in enumerate(PHRASES))} from word),
+vote as (select t.rid, q.wording, q.label, q.places, t.p, q.p as q, t.p - q.p as diagonal
+         from place t join place q on t.gram = q.gram and t.rid > 0 and q.rid < 0),
+diagonals as (select distinct rid, wording, diagonal from vote),
+steps as (select *, case when diagonal - lag(diagonal) over o <= {NEAR} then 0 else 1 end as new from diagonals window o as (partition by rid, wording order by diagonal)),
+runs as (select rid, wording, diagonal, sum(new) over (partition by rid, wording order by diagonal) as run from steps),
+spans as (select rid, label, min(p) as first, max(p) + 2 as last, round(count(distinct q) / any_value(places), 6) as coverage
+          from vote join runs using (rid, wording, diagonal) group by rid, wording, label, run having coverage >= {COVERED}),
+found as (select rid, max(coverage) as covered, list(distinct label) as more, list_sort(list(distinct {{'first': first, 'last': last, 'label': label}})) as spans from spans group by rid),
+base as (select rid, sum({" + ".join(f"s{i}::int" for i in range(len(PHRASES)))})::bigint as n_base,
+                min(p) filter ({" or ".join(f"s{i}" for i in range(len(PHRASES)))}) as first_word, max(p) filter ({" or ".join(f"s{i}" for i in range(len(PHRASES)))}) as last_word,
+                list_filter([{", ".join(f"case when bool_or(s{i}) then {_quoted(label)} end" for i, (_, label) in enumerate(PHRASES))}], lambda x: x is not null) as named
+         from place group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+       array_to_string(list_sort(list_distinct(coalesce(named, []))), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(named, []), coalesce(more, [])))), ',') as labels,
+       greatest(coalesce(covered, 0.0), case when n_base > 0 then {NAMED} else 0.0 end)::double as score,
+       coalesce(array_to_string(list_transform(f.spans, lambda s: s.label || ':' || s.first || ':' || s.last), ','), '') as spans
+from split left join base using (rid) left join found f using (rid)
+where rid > 0
+"""

@@ -86,4 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Equal SQL for DuckDB, where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op6_license_scan": licenses.ORACLE,
+    "op10_warc_revisits": warc.ORACLE,
 }

@@ -189,3 +189,44 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
                 yield pd.DataFrame(list(parsed(stream)), columns=["record_id", "kind", "url", "date", "headers", "payload"])
 
     return source.mapInPandas(unpack, WARC)
+
+
+#: Equal SQL of the page captures and their resolution: a plain window over each URL instead of ranges.
+ORACLE = rf"""
+with p as (
+  select page_id::bigint as page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as body,
+         regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['scheme', 'host', 'path', 'query']) as u
+  from pages),
+q as (
+  select *, case when lower(u.scheme) = 'http' then 'https' else lower(u.scheme) end as scheme,
+         regexp_replace(regexp_replace(lower(u.host), ':(80|443)?$', ''), '^(www|m)\.', '') as host, regexp_replace(u.path, '/+$', '') as path,
+         list_sort(list_filter(string_split(u.query, '&'), lambda x: x <> '' and not lower(split_part(x, '=', 1)) in ({", ".join(f"'{x}'" for x in TRACKING)})
+                                                                   and not starts_with(lower(split_part(x, '=', 1)), 'utm_'))) as params
+  from p),
+n as (
+  select page_id, html, body, '"' || body[1:16] || '"' as tag, 1700000000 + page_id * 60 as fetched,
+         case when coalesce(scheme, '') = '' then trim(coalesce(url, ''), ' ')
+              else scheme || '://' || host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end end as canonical_url
+  from q),
+c as (
+  select page_id, page_id * 2 as record_id, canonical_url, fetched as date, 200 as status, tag, body, length(html) as size from n
+  union all
+  select page_id, page_id * 2 + 1, canonical_url, fetched + 86400, 304, tag, null, null from n),
+s as (
+  select *, last_value(case when status = 200 and canonical_url <> '' then {{'id': record_id, 'at': date, 'tag': tag, 'body': body, 'size': size}} end ignore nulls)
+            over (partition by canonical_url order by date, record_id rows between unbounded preceding and 1 preceding) as source
+  from c),
+v as (
+  select *, case when status = 200 and canonical_url <> '' then 'full' when status <> 304 then 'other'
+                 when canonical_url = '' or source is null then 'no_earlier' when source.tag = tag then 'resolved' else 'mismatch' end as verdict,
+         'Date: ' || strftime(make_timestamp(date * 1000000), '%Y-%m-%d %H:%M:%S') as dated
+  from s)
+select page_id, record_id, canonical_url, date, status::int as status, verdict,
+       case when verdict = 'resolved' then source.id end as source_id, case when verdict = 'resolved' then source.at end as source_date,
+       case when verdict = 'resolved' then source.body else body end as digest,
+       array_to_string(case
+         when status = 200 then ['Content-Type: text/html', 'Content-Length: ' || size, dated, 'ETag: ' || tag]
+         when verdict = 'resolved' then ['Content-Type: text/html', 'Content-Length: ' || source.size, dated, 'ETag: W/' || tag, 'Cache-Control: max-age=60']
+         else [dated, 'ETag: W/' || tag, 'Cache-Control: max-age=60', 'Content-Length: 0'] end, chr(10)) as headers
+from v
+"""
