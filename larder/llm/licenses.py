@@ -5,7 +5,9 @@ hashes in a fixed table of license wordings (a few thousand rows, so it is
 broadcast).  A match of text place p with wording place q votes for the diagonal
 p - q of that text and wording; votes are summed by diagonal, diagonals a few
 words apart are merged (words were inserted or dropped), and a span counts once
-enough of the wording's places are found in it.
+enough of the wording's places are found in it.  Wordings that differ by a few
+words (a license with and without a restriction) both reach that; where spans of
+several labels lie on the same words, the better covered one stays.
 
 Defined results: a null text is empty: no words, null places, empty labels and a
 score of 0; repeated rows give repeated rows (a text is known by its id and its
@@ -56,6 +58,24 @@ WORDINGS = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("reserved", "All rights reserved."),
+    ("gpl", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("gpl", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("bsd", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("mpl", "SPDX-License-Identifier: MPL-2.0"),
+    ("unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("cc0", "SPDX-License-Identifier: CC0-1.0"),
+    ("cc-by", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("cc-by-nc", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("cc-by-sa", "SPDX-License-Identifier: CC-BY-SA-4.0"),
 )
 
 
@@ -107,7 +127,21 @@ def license_spans(docs: DataFrame, wordings=WORDINGS) -> DataFrame:
     merged = votes.withColumn("run", F.sum(new).over(by)).groupBy("doc_id", "h", "wording", "label", "places", "run")
     spans = merged.agg(F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("found"))
     share = F.round(F.size("found") / F.col("places"), 6)
-    return spans.select("doc_id", "h", "label", "first", "last", share.alias("coverage")).where(F.col("coverage") >= COVERED)
+    spans = spans.select("doc_id", "h", "wording", "label", "first", "last", share.alias("coverage"), F.size("found").alias("found")).where(F.col("coverage") >= COVERED)
+    return best_spans(spans).select("doc_id", "h", "label", "first", "last", "coverage")
+
+
+def best_spans(spans: DataFrame) -> DataFrame:
+    """The spans that win at one of their words at least.
+
+    At each word the span with the greatest coverage, then the most places found, wins, with all
+    that equal it and all of its label.  Words are the unit, so no pairs of spans are compared.
+    """
+    rank = F.struct("coverage", "found")
+    words = spans.select("*", F.explode(F.sequence("first", "last")).alias("at"))
+    best = F.max(F.struct("coverage", "found", "label")).over(Window.partitionBy("doc_id", "h", "at"))
+    won = (F.col("label") == F.col("best.label")) | (rank == F.struct("best.coverage", "best.found"))
+    return words.withColumn("best", best).where(won).select(spans.columns).distinct()
 
 
 def licenses(docs: DataFrame, wordings=WORDINGS, phrases=PHRASES) -> DataFrame:
@@ -160,8 +194,11 @@ vote as (select t.rid, q.wording, q.label, q.places, t.p, q.p as q, t.p - q.p as
 diagonals as (select distinct rid, wording, diagonal from vote),
 steps as (select *, case when diagonal - lag(diagonal) over o <= {NEAR} then 0 else 1 end as new from diagonals window o as (partition by rid, wording order by diagonal)),
 runs as (select rid, wording, diagonal, sum(new) over (partition by rid, wording order by diagonal) as run from steps),
-spans as (select rid, label, min(p) as first, max(p) + 2 as last, round(count(distinct q) / any_value(places), 6) as coverage
-          from vote join runs using (rid, wording, diagonal) group by rid, wording, label, run having coverage >= {COVERED}),
+likely as (select rid, label, min(p) as first, max(p) + 2 as last, count(distinct q) as found, round(count(distinct q) / any_value(places), 6) as coverage
+           from vote join runs using (rid, wording, diagonal) group by rid, wording, label, run having coverage >= {COVERED}),
+words as (select *, unnest(range(first, last + 1)) as place from likely),
+ranked as (select *, max({{'coverage': coverage, 'found': found, 'label': label}}) over (partition by rid, place) as best from words),
+spans as (select distinct rid, label, first, last, coverage from ranked where label = best.label or (coverage = best.coverage and found = best.found)),
 found as (select rid, max(coverage) as covered, list(distinct label) as more, list_sort(list(distinct {{'first': first, 'last': last, 'label': label}})) as spans from spans group by rid),
 base as (select rid, sum({" + ".join(f"s{i}::int" for i in range(len(PHRASES)))})::bigint as n_base,
                 min(p) filter ({" or ".join(f"s{i}" for i in range(len(PHRASES)))}) as first_word, max(p) filter ({" or ".join(f"s{i}" for i in range(len(PHRASES)))}) as last_word,

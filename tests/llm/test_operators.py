@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import decontaminate, html_extract, licenses, near_dedup, packing, pii, quality, sharding, substring_dedup, warc
+from tests.oracle import compare
 
 WORDS = [f"w{i}" for i in range(900)]
 
@@ -178,6 +179,29 @@ def test_licenses(spark):
     assert (got[3]["n_base"], got[4]["n_words"], got[4]["score"]) == (0, 0, 0.0)
 
 
+def test_each_wording_has_its_own_label_only(spark):
+    docs = spark.createDataFrame([(i, f"{text(i, 30)} {t} {text(i + 50, 30)}") for i, (_, t) in enumerate(licenses.WORDINGS)], "doc_id long, text string")
+    for r in licenses.licenses(docs).collect():
+        label, wording = licenses.WORDINGS[r["doc_id"]]
+        assert set(r["labels"].split(",")) == {label} | set(filter(None, r["base_labels"].split(","))), wording
+        assert {s.split(":")[0] for s in r["spans"].split(",")} == {label} and r["score"] == 1.0
+
+
+def test_license_sql_on_neighbouring_wordings(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for i in range(80):
+        words = " ".join(rng.choice(licenses.WORDINGS)[1] if rng.random() < 0.5 else text(rng.random(), rng.randrange(1, 12)) for _ in range(6)).split()
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = rng.choice(["", "new", "Mit License"])
+        rows.append((i, " ".join(words)))
+    rows += [(80, None), (81, ""), (82, "mit"), (3, rows[3][1]), (3, rows[4][1]), (None, rows[5][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (tmp_path / "whole").mkdir()
+    spark.read.parquet(f"{tmp_path}/documents.parquet").toPandas().to_parquet(tmp_path / "whole" / "documents.parquet")
+    compare(spark, "op6", lambda s, d: licenses.licenses(s.read.parquet(f"{d}/documents.parquet")), licenses.ORACLE, str(tmp_path / "whole"))
+
+
 def test_pii_base_spans(spark):
     texts = ["mail A.b@c-d.org, x@y and 10.2.3.4 or 300.1.1.1", "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "call +49 (30) 1234-567 now", "é a@b.c", "", None, "1.2.3.4.5.6.7.8 a@b@c.d"]
     got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
