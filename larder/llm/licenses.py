@@ -6,8 +6,9 @@ broadcast).  A match of text place p with wording place q votes for the diagonal
 p - q of that text and wording; votes are summed by diagonal, diagonals a few
 words apart are merged (words were inserted or dropped), and a span counts once
 enough of the wording's places are found in it.  Wordings that differ by a few
-words (a license with and without a restriction) both reach that; where spans of
-several labels lie on the same words, the better covered one stays.
+words (a license with and without a restriction) both reach that; :func:`licenses`
+leaves out a span that lies in another one at least as well covered, looking at
+the ``BEFORE`` spans before it (ordered by first word, the best covered first).
 
 Defined results: a null text is empty: no words, null places, empty labels and a
 score of 0; repeated rows give repeated rows (a text is known by its id and its
@@ -29,6 +30,8 @@ GRAM = 3
 NEAR = 6
 #: The share of a wording's places that must be found.
 COVERED = 0.6
+#: Spans before one that may hold it; there are as many only where wordings overlap.
+BEFORE = 8
 #: The score of a text that only names a license.
 NAMED = 0.5
 
@@ -113,7 +116,7 @@ def wording_places(spark: SparkSession, wordings=WORDINGS) -> DataFrame:
 
 
 def license_spans(docs: DataFrame, wordings=WORDINGS) -> DataFrame:
-    """(doc_id, h, label, first, last, coverage) for each verified span, words from 0, ends included."""
+    """(doc_id, h, label, first, last, coverage, found) for each verified span, words from 0, ends included."""
     text = text_of(docs)
     words = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("h"), words_of(text).alias("w"))
     # outer: for the inner form the optimizer adds a filter on the array's size and evaluates all of it there once more
@@ -127,21 +130,7 @@ def license_spans(docs: DataFrame, wordings=WORDINGS) -> DataFrame:
     merged = votes.withColumn("run", F.sum(new).over(by)).groupBy("doc_id", "h", "wording", "label", "places", "run")
     spans = merged.agg(F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("found"))
     share = F.round(F.size("found") / F.col("places"), 6)
-    spans = spans.select("doc_id", "h", "wording", "label", "first", "last", share.alias("coverage"), F.size("found").alias("found")).where(F.col("coverage") >= COVERED)
-    return best_spans(spans).select("doc_id", "h", "label", "first", "last", "coverage")
-
-
-def best_spans(spans: DataFrame) -> DataFrame:
-    """The spans that win at one of their words at least.
-
-    At each word the span with the greatest coverage, then the most places found, wins, with all
-    that equal it and all of its label.  Words are the unit, so no pairs of spans are compared.
-    """
-    rank = F.struct("coverage", "found")
-    words = spans.select("*", F.explode(F.sequence("first", "last")).alias("at"))
-    best = F.max(F.struct("coverage", "found", "label")).over(Window.partitionBy("doc_id", "h", "at"))
-    won = (F.col("label") == F.col("best.label")) | (rank == F.struct("best.coverage", "best.found"))
-    return words.withColumn("best", best).where(won).select(spans.columns).distinct()
+    return spans.select("doc_id", "h", "label", "first", "last", share.alias("coverage"), F.size("found").alias("found")).where(F.col("coverage") >= COVERED)
 
 
 def licenses(docs: DataFrame, wordings=WORDINGS, phrases=PHRASES) -> DataFrame:
@@ -153,10 +142,12 @@ def licenses(docs: DataFrame, wordings=WORDINGS, phrases=PHRASES) -> DataFrame:
     named = F.array_compact(F.array(*(F.when(F.size(s) > 0, label) for s, (_, label) in zip(starts, phrases, strict=True))))
     df = df.select("doc_id", "h", "n_words", F.concat(*starts).alias("all"), F.array_sort(F.array_distinct(named)).alias("named"))
     found = license_spans(docs, wordings).groupBy("doc_id", "h").agg(
-        F.collect_set("label").alias("more"), F.max("coverage").alias("covered"),
-        F.sort_array(F.collect_set(F.struct("first", "last", "label"))).alias("spans"),
+        F.max("coverage").alias("covered"),
+        F.sort_array(F.collect_set(F.struct("first", (-F.col("coverage")).alias("lack"), (-F.col("found")).alias("fewer"), "label", "last"))).alias("ranked"),
     )
-    found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "more", "covered", "spans")
+    before = lambda i: F.slice("ranked", F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE)))
+    best = F.filter("ranked", lambda s, i: ~F.exists(before(i), lambda b: (b["last"] >= s["last"]) & (b["lack"] <= s["lack"])))
+    found = found.select("*", best.alias("spans")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("spans.label").alias("more"), "covered", "spans")
     out = df.join(found, (F.col("h") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     labels = F.array_sort(F.array_union("named", F.coalesce("more", F.expr("cast(array() as array<string>)"))))
     return out.select(
@@ -196,9 +187,9 @@ steps as (select *, case when diagonal - lag(diagonal) over o <= {NEAR} then 0 e
 runs as (select rid, wording, diagonal, sum(new) over (partition by rid, wording order by diagonal) as run from steps),
 likely as (select rid, label, min(p) as first, max(p) + 2 as last, count(distinct q) as found, round(count(distinct q) / any_value(places), 6) as coverage
            from vote join runs using (rid, wording, diagonal) group by rid, wording, label, run having coverage >= {COVERED}),
-words as (select *, unnest(range(first, last + 1)) as place from likely),
-ranked as (select *, max({{'coverage': coverage, 'found': found, 'label': label}}) over (partition by rid, place) as best from words),
-spans as (select distinct rid, label, first, last, coverage from ranked where label = best.label or (coverage = best.coverage and found = best.found)),
+ranked as (select *, row_number() over (partition by rid order by first, coverage desc, found desc, label, last) as i from (select distinct * from likely)),
+spans as (select * from ranked s where not exists (
+            select 1 from ranked b where b.rid = s.rid and b.i between s.i - {BEFORE} and s.i - 1 and b.last >= s.last and b.coverage >= s.coverage)),
 found as (select rid, max(coverage) as covered, list(distinct label) as more, list_sort(list(distinct {{'first': first, 'last': last, 'label': label}})) as spans from spans group by rid),
 base as (select rid, sum({" + ".join(f"s{i}::int" for i in range(len(PHRASES)))})::bigint as n_base,
                 min(p) filter ({" or ".join(f"s{i}" for i in range(len(PHRASES)))}) as first_word, max(p) filter ({" or ".join(f"s{i}" for i in range(len(PHRASES)))}) as last_word,
