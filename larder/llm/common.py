@@ -39,10 +39,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage, so that a lost executor costs no recomputation of
     what stands before, and keeps an expensive stage from running twice.
     """
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same with its folder, for callers that :func:`remove` it after use."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a staged folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, html_extract, licenses, near_dedup, packing, pii, quality, sharding, substring_dedup, warc
+from larder.llm import decontaminate, html_extract, kmeans, licenses, near_dedup, packing, periodic_runs, pii, quality, sharding, substring_dedup, warc, window_packing
 from larder.llm.common import read, shared_dir
 
 
@@ -70,6 +70,21 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "record_id", "canonical_url", F.unix_timestamp("date").alias("date"), "status", "verdict", "source_id", F.unix_timestamp("source_date").alias("source_date"), "digest", merged.alias("headers"))
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequences of at most 1024 tokens."""
+    return window_packing.packed(read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector with its cluster, distance, inertias and its centroid's digest."""
+    return kmeans.assignments(read(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, after one text in ten was given a periodic end."""
+    return periodic_runs.digests(periodic_runs.find(periodic_runs.with_planted_runs(read(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_window_packing": op11_window_packing,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Equal SQL for DuckDB, where SQL can express the operator.
@@ -88,4 +106,6 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op6_license_scan": licenses.ORACLE,
     "op10_warc_revisits": warc.ORACLE,
+    "op12_centroid_clustering": kmeans.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
 }
