@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import nutrition as N
 from larder.functions import rules
 from larder.functions.rounding import half_up
+from larder.operators import tiles
 
 MENU = "array<struct<id: string, name: string, calories: double, protein: double, carbs: double, fat: double, fiber: double, tags: array<string>>>"
 
@@ -68,33 +69,29 @@ def ranked(venues: DataFrame, profile: N.Profile, order: str = "id") -> DataFram
     return matched(venues, profile).orderBy(F.desc("match_score"), order)
 
 
-#: Profiles that are broadcast at once.
-BLOCK_PROFILES = 1024
+#: Most people and venues of a tile.
+TILE_PEOPLE, TILE_VENUES = 1024, 1 << 16
 
 
 def ranked_each(venues: DataFrame, people: DataFrame, profile: N.Profile, key: str, n: int = 3, order: str = "id") -> DataFrame:
     """The n best venues of every person: key, rank, ``order`` and match_score; ties in the given order.
 
-    ``profile`` names columns of ``people``.  People come in broadcast blocks and
-    venues are dealt by number over all cores, as the work is in pairs and not in
-    bytes; what depends on one side alone is made before the two meet, and each
-    task keeps n venues a person before the shuffle.
+    ``profile`` names columns of ``people``.  Both sides meet in tiles; what
+    depends on one side alone is made before that, and each task keeps n venues a
+    person before the last shuffle.
     """
     names = ("goal", "meal_type", "favourites")
     asked = people.select(F.col(key).alias("_key"), F.struct(*(N.value(getattr(profile, c)).alias(c) for c in names)).alias("_p"), F.struct(*N.targets(profile).columns()).alias("_t"))
     known = N.Targets(**{c: F.col(f"_t.{c}") for c in N.Targets.__dataclass_fields__})
     one = N.Profile(**{c: F.col(f"_p.{c}") for c in names}, known=known)
     spots = menu_health(venues).select(F.col(order).alias("_order"), "menu", "health", "cuisine", "category", "tags", "meal_type")
-    spots = spots.repartition(max(venues.sparkSession.sparkContext.defaultParallelism, 1), "_order")
-    blocks = max(1, -(-people.count() // BLOCK_PROFILES))
+    g = tiles.grid(people.count(), venues.count(), TILE_PEOPLE, TILE_VENUES, tiles.cores(venues))
+    few = min(g.tiles, tiles.MOST_TASKS)
+    here, there = tiles.row_tiles(spots, ["_order"], g), tiles.query_tiles(asked, ["_key"], g)
+    pairs = matched(here.repartition(few, "_tile").join(there.repartition(few, "_tile"), "_tile"), one).select("_key", "_order", "match_score")
     best = Window.partitionBy("_key").orderBy(F.desc("match_score"), "_order")
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b)
-        pairs = matched(spots.join(F.broadcast(part)), one).select("_key", "_order", "match_score")
-        top = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-        out = top if out is None else out.unionByName(top)
-    return out.select(F.col("_key").alias(key), "rank", F.col("_order").alias(order), "match_score")
+    top = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return top.select(F.col("_key").alias(key), "rank", F.col("_order").alias(order), "match_score")
 
 
 def top_reasons(n: int = 2) -> Column:

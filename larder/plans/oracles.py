@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from larder.functions import rules
 from larder.operators import curate, documents, places
 from larder.plans.views import CUISINES, DISHES, FAVOURITES, MEALS, SECTIONS
@@ -252,6 +254,24 @@ RANKED = """
 asked as (select vec_id as query_id, embedding as wanted from embeddings where vec_id % 20 = 0),
 s as (select query_id, vec_id, list_sum(list_transform(list_zip(e.embedding, wanted), lambda x: x[1]::double * x[2]::double)) as sc from embeddings e cross join asked),
 b as (select *, row_number() over (partition by query_id order by sc desc, vec_id)::int as rank from s)"""
+LETTERS = "[" + ", ".join(f"length(t) - length(replace(replace(t, '{c}', ''), '{c.upper()}', ''))" for c in ascii_lowercase) + "]"
+LENGTH = "greatest(sqrt(list_sum(list_transform(v, lambda x: x::double * x::double))), 1e-12::double)"
+
+
+def unit_letters(source: str) -> str:
+    """id and vector of each text of ``source`` (id, t)."""
+    return f"select id, list_transform(v, lambda x: (x::double / {LENGTH})::float) as v from (select id, {LETTERS} as v from ({source}) where t is not null)"
+
+
+ANSWERS = f"""
+dv as materialized ({unit_letters("select doc_id as id, text as t from documents")}),
+turns as (select conv_id * 1000 + turn as id, text as t from conversations where conv_id % 20 = 0),
+qv as materialized ({unit_letters("from turns")}),
+hits as (select qv.id as query_id, dv.id as doc_id, list_sum(list_transform(list_zip(dv.v, qv.v), lambda x: x[1]::double * x[2]::double)) as sc from qv cross join dv),
+ranked as (select *, row_number() over (partition by query_id order by sc desc, doc_id) as rank from hits qualify rank <= 5),
+lists as (select query_id, count(*)::int as n, string_agg(doc_id::varchar, ',' order by rank) as found, min_by(doc_id, rank) as doc_id from ranked group by query_id),
+asked as (select query_id, n, found, d.*, t from lists join turns on id = query_id join documents d using (doc_id)),
+said as (select *, {fill(documents.PROMPT, query='t', evidence="left(coalesce(text, ''), 800)", restaurant_name="('Venue ' || doc_id)", category='source', average_calories='n_chars', average_protein='n_chars % 50', average_fiber='n_chars % 9', fitness_score='n_chars % 100')} as p from asked)"""
 ESTIMATED = {c: [i[0] for i in items] for names, items in places.ESTIMATED.items() for c in names}
 
 
@@ -292,6 +312,11 @@ health_score::varchar as health_score, fitness_score::varchar as fitness_score,
     "ip_topk": with_(RANKED) + "select query_id, rank, vec_id, round(sc, 4) as similarity_score from b where rank <= 5",
     "retrieve_join": with_(RAW, RANKED)
     + "select query_id, rank, vec_id as doc_ord, round(sc, 4) as similarity_score, d.text as document_text, coalesce(v.name, c.c_name) as name from b join documents d on d.doc_id = vec_id left join venues v on v.id = cast(vec_id as varchar) left join customer c on c.c_custkey = vec_id where rank <= 20",
+    "embedded_documents": f"select d.doc_id, array_to_string(list_transform(v, lambda x: floor(x::double * 10000)::bigint), ',') as vector, case when text is null then 'no input' end as failure from documents d left join ({unit_letters('select doc_id as id, text as t from documents')}) on id = d.doc_id",
+    "batch_answers": with_(ANSWERS)
+    + f"""select turns.id as query_id, coalesce(n, 0) as retrieved_count, coalesce(found, '') as found, case when turns.t is null then null when n is null then 'No suitable restaurant was found.' else
+{fill("Recommended Restaurant:{nl}Venue {doc}{nl}{nl}Nutrition Summary:{nl}{a} kcal{nl}{b} g protein{nl}{c} g fiber{nl}{nl}Recommended Reason:{nl}The request of {d} letters names protein {e} times.", nl='chr(10)', doc='doc_id', a='n_chars', b='n_chars % 50', c='n_chars % 9', d='length(p)', e="(length(p) - length(replace(p, 'protein', ''))) // 7")} end as generated_answer,
+case when turns.t is null then 'no input' end as failure from turns left join said on turns.id = query_id""",
     "vector_stats": "select count(*) as n_docs, max(len(embedding))::int as dim, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 4) as max_norm from embeddings",
     "safe_answer": f"""with r as (select *, {strip("text")} as s from conversations),
 a as (select *, case turn when 0 then s when 1 then {strip("coalesce(text, '')")} when 2 then '<s></s> short' else s end as reason from r),

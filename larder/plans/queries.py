@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import nutrition, rules, text
-from larder.operators import curate, documents, features, places, ranking, state, vectors
-from larder.plans import views
+from larder.operators import curate, documents, features, models, places, ranking, state, vectors
+from larder.plans import standins, views
 from larder.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,25 @@ def top_evidence(spark, sf):
     return features.first_rows(found, ["query_id"], ["rank"], 3).select("query_id", "rank", "doc_ord", "document_text")
 
 
+@query
+def embedded_documents(spark, sf):
+    """All documents through an embedding model, as ten-thousandths."""
+    found = models.embedded(table(spark, sf, "documents").select("doc_id", "text"), standins.LETTERS)
+    return found.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 10_000).cast("string")), ",").alias("vector"), "failure")
+
+
+@query
+def batch_answers(spark, sf):
+    """Embedding, retrieval from all documents and an answer for the turns of every conversation whose number 20 divides."""
+    turns = table(spark, sf, "conversations").where("conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    d = table(spark, sf, "documents")
+    facts = {"restaurant_name": F.concat(F.lit("Venue "), F.col("doc_id").cast("string")), "category": F.col("source"), "average_calories": F.col("n_chars"), "average_protein": F.col("n_chars") % 50, "average_fiber": F.col("n_chars") % 9, "fitness_score": F.col("n_chars") % 100}
+    docs = d.select(F.col("doc_id").alias("doc_ord"), "text", *(c.alias(n) for n, c in facts.items()))
+    found = models.recommended_each(turns, docs, standins.LETTERS, standins.COUNTING, F.lit("You explain recommendations only."))
+    ids = F.array_join(F.transform("results", lambda r: r["doc_ord"].cast("string")), ",")
+    return found.select("query_id", "retrieved_count", ids.alias("found"), "generated_answer", "failure")
+
+
 @query
 def vector_stats(spark, sf):
     e = table(spark, sf, "embeddings")

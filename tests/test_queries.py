@@ -16,7 +16,9 @@ def test_first_wins_keeps_every_first_row(spark, tmp_path):
 
 
 def test_every_query_vector_is_searched(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(vectors, "QUERY_CELLS", 7 * 64)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 90)
+    monkeypatch.setattr(vectors, "PRODUCT_CELLS", 50)
     every = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").collect()}
 
     def best(q, k):
