@@ -47,6 +47,21 @@ def latest_profiles(events: DataFrame, schema: str, default: Column) -> DataFram
     return last.select("user_id", F.coalesce(good, default).alias("profile"))
 
 
+def stored(payload: Column, schema: str, default: Column | None = None) -> Column:
+    """A stored JSON text as typed data.
+
+    Missing and empty text gives ``default``.  Malformed text gives ``default``
+    too where there is one that isn't null; without it, the job fails, as a
+    history must not be lost silently.
+    """
+    missing = F.coalesce(payload, F.lit("")) == ""
+    if default is None:
+        return F.when(~missing, F.from_json(payload, schema, {"mode": "FAILFAST"}))
+    # a column of bad text tells malformed text from objects without fields
+    box = F.from_json(F.concat(F.lit('{"v":'), payload, F.lit("}")), f"v {schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.when(missing | box["_bad"].isNotNull() | box["v"].isNull(), default).otherwise(box["v"])
+
+
 def lookup(sources: list[DataFrame], ids: DataFrame) -> DataFrame:
     """Each id's row in the first source that has it; ids in none drop out."""
     all_rows = None

@@ -82,12 +82,17 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_ord long, embedding array<float>").parquet(path)
 
 
-def vectors_exist(spark: SparkSession, path: str) -> bool:
-    """Whether vectors were written to the path and their write was finished."""
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether Spark wrote the path and finished."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def vectors_exist(spark: SparkSession, path: str) -> bool:
+    """Whether vectors were written to the path and their write was finished."""
+    return finished(spark, path)
+
+
 def places(spark: SparkSession, path: str) -> DataFrame:
     """External place records from JSON files of the service's answers; a missing list has no places."""
     place = "struct<id: string, displayName: struct<text: string>, formattedAddress: string, primaryType: string>"
