@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from larder.functions import rules, text
 from larder.operators.documents import filled
 from larder.operators.features import first_of
+from larder.sources import tables
+from larder.sources.tables import staged
 
 # Requests for each goal.
 TEMPLATES = {
@@ -212,17 +214,41 @@ def judged(rows: DataFrame, least: int = 50, most: int = 1200) -> DataFrame:
         .when(~F.length("reason").between(least, most), "invalid_reason_length")
     )
     df = df.withColumn("reject_reason", fault)
-    firsts = df.where("reject_reason is null").groupBy("restaurant", "menu", "reason").agg(F.min("row_seq").alias("_first")).select("_first")
+    # repeats are grouped by 128 bits, so texts stay out of the shuffle; lengths keep the parts apart
+    same = F.unhex(F.md5(F.concat_ws("|", F.length("restaurant"), F.length("menu"), "restaurant", "menu", "reason")))
+    firsts = df.where("reject_reason is null").groupBy(same.alias("_same")).agg(F.min("row_seq").alias("_first")).select("_first")
     df = df.join(firsts, F.col("row_seq") == F.col("_first"), "left")
     again = F.col("reject_reason").isNull() & F.col("_first").isNull()
     return df.withColumn("reject_reason", F.when(again, "duplicate").otherwise(F.col("reject_reason"))).drop("_first")
 
 
+FAULTS = ("missing_restaurant", "missing_menu", "missing_reason", "invalid_reason_length", "duplicate")
+
+
+def filter_counters() -> dict[str, Column]:
+    """Counters of a judged table."""
+    kinds = {r: F.count_if(F.col("reject_reason") == r) for r in FAULTS}
+    return {"total_samples": F.count("*"), "valid_samples": F.count_if(F.col("reject_reason").isNull()), **kinds}
+
+
 def filter_report(rows: DataFrame) -> DataFrame:
     """One row of counters of a judged table."""
-    count = lambda r: F.count_if(F.col("reject_reason") == r).alias(r)
-    kinds = ("missing_restaurant", "missing_menu", "missing_reason", "invalid_reason_length", "duplicate")
-    return rows.agg(F.count("*").alias("total_samples"), F.count_if(F.col("reject_reason").isNull()).alias("valid_samples"), *map(count, kinds))
+    return rows.agg(*(c.alias(n) for n, c in filter_counters().items()))
+
+
+def write_filtered(rows: DataFrame, samples: str, report: str, invalid_json: int = 0) -> dict:
+    """Writes the rows that pass as a line file and the report of all rows, counted by the job that writes.
+
+    The rows are judged once: they are staged, as a job that is tried again counts
+    again from the same rows.  ``invalid_json`` is the reader's count of bad lines.
+    """
+    kept = staged(judged(rows), "judged")
+    names = [c for c in rows.columns if c != "row_seq"]
+    n = tables.write_observed(kept, filter_counters(), lambda df: tables.write_jsonl(df.where("reject_reason is null").select(*names), samples))
+    total, valid = n["total_samples"], n["valid_samples"]
+    told = {"total_samples": total, "valid_samples": valid, "invalid_samples": total - valid, "duplicate_samples": n["duplicate"], "details": {"invalid_json": invalid_json} | {r: n[r] for r in FAULTS}}
+    tables.write_report(rows.sparkSession, report, told)
+    return told
 
 
 def chat_text(instruction: Column, user: Column, output: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from larder.functions import rules, text
 from larder.functions.rounding import half_even
+from larder.sources import tables
 
 
 def clean_venues(raw: DataFrame, most: int | None = 5000) -> DataFrame:
@@ -88,6 +89,20 @@ def venue_features(venues: DataFrame, menus: DataFrame) -> DataFrame:
     return df.withColumn("cuisine_tags", rules.cuisine_tags(F.col("category"), F.col("name")))
 
 
+def write_features(features: DataFrame, menus: DataFrame, folder: str) -> dict:
+    """Writes both cleaned tables and a summary of them, counted by the jobs that write."""
+    venue = {"restaurants": F.count("*"), "menu_items": F.sum("menu_count"), "best_fitness": F.max("fitness_score")}
+    item = {"kept_items": F.count("*"), "healthy_items": F.count_if(F.col("health_level") == "healthy"), "cheat_items": F.count_if(F.col("health_level") == "cheat")}
+    text_lists = lambda df: df.withColumns({c: text.json_list(F.col(c)) for c in ("cuisine_tags", "tags") if c in df.columns})
+    seen = {}
+    for df, counters, name in ((features, venue, "restaurants_clean"), (menus, item, "menus_clean")):
+        seen |= tables.write_observed(df, counters, lambda d, name=name: text_lists(d).write.mode("overwrite").csv(f"{folder}/{name}", header=True, escape='"'))
+    if not seen["restaurants"]:
+        raise ValueError("no rows to write")
+    tables.write_report(features.sparkSession, f"{folder}/summary", seen)
+    return seen
+
+
 def summary(features: DataFrame, menus: DataFrame) -> DataFrame:
     """One row of counters."""
     a = features.agg(F.count("*").alias("restaurants"), F.sum("menu_count").alias("menu_items"), F.max("fitness_score").alias("best_fitness"))

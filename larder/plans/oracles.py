@@ -342,6 +342,9 @@ when {K} <= 500 then 'I want a low-calorie ' || restaurant_category || ' meal un
     "dataset_filter": with_(OUTPUTS) + "select * from o3",
     "filter_report": with_(OUTPUTS) + "select count(*) as total_samples, count(*) filter (reject_reason is null) as valid_samples, " + ", ".join(f"count(*) filter (reject_reason = '{r}') as {r}" for r in ("missing_restaurant", "missing_menu", "missing_reason", "invalid_reason_length", "duplicate")) + " from o3",
     "seeded_sample": "select p_partkey, p_name from part order by md5('7|' || p_partkey), p_partkey limit 50",
+    "sampled_candidates": with_(RAW, AGG) + f"select v.id as restaurant_id, v.name as restaurant_name, v.category as restaurant_category, v.health_score, v.fitness_score, cast(m.row_seq as varchar) as menu_id, m.name as menu_name, m.category as menu_category, {K}, {P}, {FI}, health_level, array_to_string(tags, ',') as tags from menus m join features v on v.id = m.restaurant_id order by md5('11|' || m.row_seq), m.row_seq limit 40",
+    "observed_filter_report": with_(OUTPUTS) + "select count(*) as total_samples, count(*) filter (reject_reason is null) as valid_samples, count(reject_reason) as invalid_samples, count(*) filter (reject_reason = 'duplicate') as duplicate_samples, 0::bigint as invalid_json, " + ", ".join(f"count(*) filter (reject_reason = '{r}') as {r}" for r in curate.FAULTS) + ", count(*) filter (reject_reason is null) as written_samples from o3",
+    "observed_summary": with_(RAW, AGG) + "select (select count(*) from features) as restaurants, (select sum(menu_count)::bigint from features) as menu_items, (select max(fitness_score) from features) as best_fitness, count(*) as kept_items, count(*) filter (health_level = 'healthy') as healthy_items, count(*) filter (health_level = 'cheat') as cheat_items from menus",
     "nutrition_targets": with_(PEOPLE, TARGETS)
     + "select c_custkey, bmi, bmr, tdee, kcal, protein, carbs, fat, fiber, budget from goals",
     "menu_scores": with_(RAW, ME, TARGETS, NESTED, SCORED) + "select id, cast(row_seq as varchar) as item_id, quality, goal_points as goal, calories, macro, score from summed",
@@ -362,5 +365,10 @@ least(100::double, 60::double + case when k <= 650 then 15 else 0 end + case whe
     "history_recent": with_(EV, "l as (select user_id, item_id, max((ts, event_id)) as v from ev where event_type in ('view', 'click', 'error') group by 1, 2), r as (select *, row_number() over (partition by user_id order by v desc)::int as pos from l)") + "select user_id, item_id, epoch_us(v[1]) as viewed_us, pos from r where pos <= 20",
     "history_venues": with_(RAW, EV, "l as (select user_id, item_id, max((ts, event_id)) as v from ev where event_type = 'view' group by 1, 2), r as (select *, row_number() over (partition by user_id order by v desc)::int as pos from l)") + "select user_id, pos, id as item_id, name from r join venues on id = cast(item_id as varchar) where pos <= 20",
     "profile_latest": with_(EV, "l as (select * from ev qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)") + "select user_id, case when item_id % 3 = 0 or item_id % 5 = 0 then 75.0 else item_id end::double as weight, case when item_id % 3 = 0 or item_id % 5 = 0 then 'gain-muscle' else 'maintain' end as goal from l",
+    "stream_user_state": with_(EV, "known as (select * from ev where user_id is not null and ts is not null)", "l as (select user_id, item_id, max((ts, event_id)) as v from known where event_type = 'view' and item_id is not null group by 1, 2), r as (select *, row_number() over (partition by user_id order by v desc) as pos from l)")
+    + """select user_id, 'toggle' as kind, item_id, null::bigint as pos, null as payload, epoch_us(max(ts)) as us from known where event_type = 'click' and item_id is not null group by 1, 3 having count(*) % 2 = 1
+union all select user_id, 'view', item_id, pos, null, epoch_us(v[1]) from r where pos <= 20
+union all (select user_id, 'profile', null, null, 'w' || item_id, epoch_us(ts) from known where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)""",
+    "stored_profiles": with_(EV, "l as (select * from ev where user_id is not null qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)") + "select user_id, case when item_id % 7 = 0 or item_id % 5 = 0 then 75.0 else item_id end::double as weight, case when item_id % 7 = 0 or item_id % 5 = 0 then 'gain-muscle' else 'maintain' end as goal from l",
     "venue_lookup": with_(RAW) + "select cast(c_custkey as varchar) as id, coalesce(v.name, p.p_name) as name from customer c left join venues v on v.id = cast(c_custkey as varchar) left join part p on p.p_partkey = c_custkey where coalesce(v.name, p.p_name) is not null",
 }

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import nutrition, rules, text
-from larder.operators import curate, documents, features, models, places, ranking, state, vectors
+from larder.operators import curate, documents, features, models, places, ranking, relational, state, vectors
 from larder.plans import standins, views
 from larder.plans.views import table
+from larder.sources import tables
+from larder.streaming import stores, users
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -262,6 +264,33 @@ def seeded_sample(spark, sf):
     return curate.sampled(table(spark, sf, "part"), 50, "p_partkey", seed=7).select("p_partkey", "p_name")
 
 
+@query
+def sampled_candidates(spark, sf):
+    """A sample of 40 items of the join with their venues' scores: the limit is the operator."""
+    v = features.venue_features(views.venues(spark, sf), views.capped(spark, sf))
+    df = relational.sampled_candidates(views.items(spark, sf), v, 40, seed=11)
+    return df.withColumn("tags", F.array_join("tags", ","))
+
+
+@query
+def observed_filter_report(spark, sf):
+    """The filter's report, counted by the job that writes the samples, and read back from its file."""
+    folder = tables.new_folder(spark, "filtered")
+    curate.write_filtered(views.outputs(spark, sf), f"{folder}/samples", f"{folder}/report")
+    details = ", ".join(f"{f}: bigint" for f in ("invalid_json", *curate.FAULTS))
+    told = tables.read_report(spark, f"{folder}/report", f"total_samples bigint, valid_samples bigint, invalid_samples bigint, duplicate_samples bigint, details struct<{details}>")
+    written = spark.read.schema("output string").json(f"{folder}/samples").agg(F.count("output").alias("written_samples"))
+    return told.select("total_samples", "valid_samples", "invalid_samples", "duplicate_samples", "details.*").join(F.broadcast(written))
+
+
+@query
+def observed_summary(spark, sf):
+    """The summary of the cleaned tables, counted by the jobs that write them."""
+    folder, menus = tables.new_folder(spark, "features"), views.capped(spark, sf)
+    features.write_features(features.venue_features(views.venues(spark, sf), menus), menus, folder)
+    return tables.read_report(spark, f"{folder}/summary", "restaurants bigint, menu_items bigint, best_fitness int, kept_items bigint, healthy_items bigint, cheat_items bigint")
+
+
 @query
 def nutrition_targets(spark, sf):
     df, profile = views.customer_profiles(spark, sf)
@@ -360,6 +389,40 @@ def profile_latest(spark, sf):
     return df.select("user_id", "profile.weight", "profile.goal")
 
 
+def user_events(spark, df):
+    """Clicks as toggles, views, and purchases as written profiles."""
+    t = F.col("event_type")
+    kind = F.when(t == "click", "toggle").when(t == "view", "view").when(t == "purchase", "profile").otherwise("none")
+    e = df.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"), "event_type")
+    return users.typed(e, kind, F.concat(F.lit("w"), F.col("item_id").cast("string")))
+
+
+@query
+def stream_user_state(spark, sf):
+    """All users' favourites, histories and profiles by a stateful stream over half of the events, begun with a snapshot of the other half."""
+    own = users.session_for(spark)
+    raw = own.read.parquet(f"{sf}/events.parquet")
+    # the pattern lets a stream read a table that is one file
+    past = users.snapshot(user_events(own, raw.where("event_id % 2 = 0")))
+    stream = user_events(own, own.readStream.schema(raw.schema).parquet(f"{sf}/events[.]parquet").where("event_id % 2 = 1"))
+    found = users.drained(stream, tables.new_folder(spark, "users"), initial=past)
+    return found.select("user_id", "kind", "item_id", F.col("pos").cast("long").alias("pos"), "payload", "us")
+
+
+@query
+def stored_profiles(spark, sf):
+    """Every user's last profile from a keyed store that five batches of events were merged into, two of them twice; malformed text gives the default."""
+    e = user_events(spark, table(spark, sf, "events")).where("user_id is not null")
+    text_ = F.when(F.col("item_id") % 7 == 0, "{broken").when(F.col("item_id") % 5 == 0, "").otherwise(F.concat(F.lit('{"weight":'), F.col("item_id").cast("string"), F.lit(',"goal":"maintain"}')))
+    rows = e.select("user_id", text_.alias("value"), "ts", "event_id")
+    store = stores.KeyedStore(spark, tables.new_folder(spark, "store"), "user_id long, value string, ts timestamp, event_id long", ("user_id",), ("ts", "event_id"), compact_after=2)
+    write = store.sink()
+    for n in (0, 1, 1, 2, 3, 2, 4):
+        write(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == n), n)
+    default = F.struct(F.lit(75.0).alias("weight"), F.lit("gain-muscle").alias("goal"))
+    return store.read().select("user_id", state.stored(F.col("value"), "struct<weight: double, goal: string>", default).alias("p")).select("user_id", "p.*")
+
+
 @query
 def venue_lookup(spark, sf):
     ids = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"))

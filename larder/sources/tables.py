@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +68,23 @@ def summary_json(row: DataFrame, **more) -> str:
     return json.dumps(row.first().asDict(recursive=True) | more, ensure_ascii=False, indent=2)
 
 
+def write_observed(df: DataFrame, counters: dict[str, Column], write: Callable[[DataFrame], None]) -> dict:
+    """Writes ``df`` and gives the counters of the rows that went by, from the same job."""
+    seen = Observation()
+    write(df.observe(seen, *(c.alias(n) for n, c in counters.items())))
+    return seen.get
+
+
+def write_report(spark: SparkSession, path: str, report: dict) -> None:
+    """A report as one indented JSON file in a folder."""
+    text = json.dumps(report, ensure_ascii=False, indent=4)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+
+
 def write_database(folder: str, **tables: DataFrame) -> None:
     """Drops and writes each table; venue tables are laid out by id so that lookups skip files."""
     for name, df in tables.items():
@@ -100,15 +118,24 @@ def places(spark: SparkSession, path: str) -> DataFrame:
     return answers.select(F.explode("places").alias("p")).select("p.*")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written in the cluster's shared folder and read again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a session on one machine that names none (tests) gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/table-{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/table-{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the cluster's shared folder and read again."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -123,11 +123,17 @@ def changes(events: DataFrame, most: int = 20, ttl_ms: int | None = None, initia
 
 
 def snapshot(events: DataFrame, most: int = 20) -> DataFrame:
-    """Past events as few rows of the same columns: one toggle for each favourite, the history's views, the last profile."""
+    """Past events as few rows of the same columns: one toggle for each favourite, the history's views, the last profile.
+
+    An item that was taken off again has two toggles, so that its last change
+    still counts against an older one that comes late.
+    """
     kind = lambda k: events.where(F.col("kind") == k)
     row = lambda df, k, item, payload, ts, event: df.select("user_id", F.lit(k).alias("kind"), item.alias("item_id"), payload.alias("payload"), ts.alias("ts"), event.alias("event_id"))
     none = F.lit(None).cast("string")
-    favs = row(state.favourites(kind("toggle")), "toggle", F.col("item_id"), none, F.col("added"), F.col("added_event"))
+    toggled = kind("toggle").groupBy("user_id", "item_id").agg(F.count("*").alias("_n"), F.max(F.struct("ts", "event_id")).alias("_v"))
+    twice = toggled.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(2) - (F.col("_n") % 2).cast("int"))))
+    favs = row(twice, "toggle", F.col("item_id"), none, F.col("_v.ts"), F.col("_v.event_id"))
     latest = kind("view").groupBy("user_id", "item_id").agg(F.max(F.struct("ts", "event_id")).alias("_v"))
     few = state.first_rows(latest, ["user_id"], [F.desc("_v.ts"), F.desc("_v.event_id")], most)
     seen = row(few, "view", F.col("item_id"), none, F.col("_v.ts"), F.col("_v.event_id"))
@@ -147,12 +153,14 @@ def current(log: DataFrame, batch: str = "batch") -> DataFrame:
 
 def begun(initial: DataFrame) -> DataFrame:
     """A snapshot as changes."""
-    place = F.row_number().over(Window.partitionBy("user_id", "kind").orderBy(F.desc("us"), F.desc("event_id")))
-    is_, none = F.col("kind"), F.lit(None)
-    return _timed(initial).select(
-        "user_id", "kind", "item_id", F.when(is_ == "view", place).cast("int").alias("pos"), F.when(is_ == "toggle", F.lit(True)).alias("favourite"),
-        F.when(is_ == "profile", F.col("payload")).otherwise(none).alias("payload"), "us", "event_id",
-    )
+    rows = _timed(initial)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("us"), F.desc("event_id")))
+    none = F.lit(None)
+    toggled = rows.where("kind = 'toggle'").groupBy("user_id", "kind", "item_id").agg((F.count("*") % 2 == 1).alias("favourite"), F.max(F.struct("us", "event_id")).alias("v"))
+    toggled = toggled.select("user_id", "kind", "item_id", none.cast("int").alias("pos"), "favourite", none.cast("string").alias("payload"), "v.us", "v.event_id")
+    seen = rows.where("kind = 'view'").select("user_id", "kind", "item_id", place.cast("int").alias("pos"), none.cast("boolean").alias("favourite"), none.cast("string").alias("payload"), "us", "event_id")
+    written = rows.where("kind = 'profile'").select("user_id", "kind", "item_id", none.cast("int").alias("pos"), none.cast("boolean").alias("favourite"), "payload", "us", "event_id")
+    return toggled.union(seen).union(written)
 
 
 def drained(events: DataFrame, folder: str, initial: DataFrame | None = None, **options) -> DataFrame:
