@@ -136,7 +136,8 @@ def recommended_each(queries: DataFrame, docs: DataFrame, embed: Model, generate
     known = staged(embedded(docs.select("doc_ord", "text"), embed), "vectors").where("failure is null")
     asked = staged(embedded(queries.select(F.col("query_id").alias("doc_ord"), "query"), embed, "query"), "queries")
     best = vectors.top_k_each(known, asked.where("failure is null"), k)
-    results = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_ord", "similarity_score"))).alias("results"))
+    # staged, so that the join with the documents knows how few rows it is for
+    results = staged(best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_ord", "similarity_score"))).alias("results")), "results")
     first = results.withColumn("doc_ord", F.col("results")[0]["doc_ord"]).join(docs, "doc_ord").drop("doc_ord")
     found = {f: F.col(f) for f in FACTS}
     prompts = queries.select("query_id", "query").join(first, "query_id").withColumn("prompt", documents.prompt(F.col("query"), found, F.col("text")))
