@@ -27,6 +27,8 @@ from larder.sources.tables import staged
 CALL_ROWS, CALL_CHARS = 256, 1 << 18
 #: Models that a worker holds at once.
 MOST_HELD = 2
+#: Whole-number ids that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 NONE_FOUND = "No suitable restaurant was found."
 
 _HELD: OrderedDict[str, Callable] = OrderedDict()
@@ -136,9 +138,13 @@ def recommended_each(queries: DataFrame, docs: DataFrame, embed: Model, generate
     known = staged(embedded(docs.select("doc_ord", "text"), embed), "vectors").where("failure is null")
     asked = staged(embedded(queries.select(F.col("query_id").alias("doc_ord"), "query"), embed, "query"), "queries")
     best = vectors.top_k_each(known, asked.where("failure is null"), k)
-    # staged, so that the join with the documents knows how few rows it is for
+    # staged, so that the documents' ids can be counted: few of them are broadcast, and texts that no query found aren't shuffled
     results = staged(best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_ord", "similarity_score"))).alias("results")), "results")
-    first = results.withColumn("doc_ord", F.col("results")[0]["doc_ord"]).join(docs, "doc_ord").drop("doc_ord")
+    results = results.withColumn("doc_ord", F.col("results")[0]["doc_ord"])
+    wanted = results.select("doc_ord").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    first = results.join(docs.join(wanted, "doc_ord", "left_semi"), "doc_ord").drop("doc_ord")
     found = {f: F.col(f) for f in FACTS}
     prompts = queries.select("query_id", "query").join(first, "query_id").withColumn("prompt", documents.prompt(F.col("query"), found, F.col("text")))
     replies = staged(answered(prompts.select("query_id", "results", *FACTS, "prompt"), generate, system), "responses")
