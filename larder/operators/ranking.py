@@ -71,6 +71,8 @@ def ranked(venues: DataFrame, profile: N.Profile, order: str = "id") -> DataFram
 
 #: Most people and venues of a tile.
 TILE_PEOPLE, TILE_VENUES = 1024, 1 << 16
+#: A venue with its menu is work enough for few to make a task.
+LEAST_VENUES = 16
 
 
 def ranked_each(venues: DataFrame, people: DataFrame, profile: N.Profile, key: str, n: int = 3, order: str = "id") -> DataFrame:
@@ -85,7 +87,7 @@ def ranked_each(venues: DataFrame, people: DataFrame, profile: N.Profile, key: s
     known = N.Targets(**{c: F.col(f"_t.{c}") for c in N.Targets.__dataclass_fields__})
     one = N.Profile(**{c: F.col(f"_p.{c}") for c in names}, known=known)
     spots = menu_health(venues).select(F.col(order).alias("_order"), "menu", "health", "cuisine", "category", "tags", "meal_type")
-    g = tiles.grid(people.count(), venues.count(), TILE_PEOPLE, TILE_VENUES, tiles.cores(venues))
+    g = tiles.grid(people.count(), venues.count(), TILE_PEOPLE, TILE_VENUES, tiles.cores(venues), LEAST_VENUES)
     few = min(g.tiles, tiles.MOST_TASKS)
     here, there = tiles.row_tiles(spots, ["_order"], g), tiles.query_tiles(asked, ["_key"], g)
     pairs = matched(here.repartition(few, "_tile").join(there.repartition(few, "_tile"), "_tile"), one).select("_key", "_order", "match_score")

@@ -30,9 +30,9 @@ class Grid(NamedTuple):
         return self.a * self.b
 
 
-def grid(queries: int, rows: int, most_queries: int, most_rows: int, cores: int) -> Grid:
+def grid(queries: int, rows: int, most_queries: int, most_rows: int, cores: int, least_rows: int = LEAST_ROWS) -> Grid:
     a, b = max(1, -(-queries // most_queries)), max(1, -(-rows // most_rows))
-    wanted = min(-(-2 * cores // a), -(-rows // LEAST_ROWS))
+    wanted = min(-(-2 * cores // a), -(-rows // least_rows))
     return Grid(a, max(b, wanted))
 
 
