@@ -86,7 +86,7 @@ def test_favourites_as_column(spark, favourites):
 
 
 def test_blocks_of_people_rank_as_one_by_one(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "BLOCK_PROFILES", 3)
+    monkeypatch.setattr(ranking, "TILE_PEOPLE", 3)
     spots = views.nested(spark, SMALL)
     people, profile = views.customer_profiles(spark, SMALL)
     some = people.where("c_custkey % 20 = 0")
