@@ -132,6 +132,12 @@ def health_parts(i: Item) -> dict[str, Column]:
     }
 
 
+def health_total(i: Item) -> Column:
+    """An item's health out of 40: the sum of its four parts."""
+    p = health_parts(i)
+    return p["protein_part"] + p["fiber_part"] + p["fat_part"] + p["energy_part"]
+
+
 def item_reasons(i: Item, tags: Column, t: Targets, p: Profile) -> Column:
     """The first three reasons for an item."""
     goal, meal, b = value(p.goal), value(p.meal_type), t.budget

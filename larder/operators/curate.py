@@ -45,6 +45,7 @@ SAID = {
     "keep_part": "The maintenance goal is only partially supported by the available nutrition evidence.",
     "sweet": "The menu appears to be dessert-like or sweet, so its fitness value should not be overstated unless the evidence strongly supports it.",
 }
+# The wording of instructions, samples, prompts and chats.
 INSTRUCTION = "Recommend a fitness meal based on the user's nutrition request."
 STRUCTURED = "Goal:\n{goal}\n\nCuisine:\n{cuisine}\n\nCalories:\n{kcal} kcal\n\nProtein:\n{protein} g\n\nFiber:\n{fiber} g\n\nUser Request:\n{request}"
 SIMPLE = (

@@ -58,6 +58,7 @@ def filled(template: str, **columns: Column) -> Column:
     return F.concat(*(F.coalesce(columns[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
 
 
+# The wording of a venue's document and of its lines.
 DOCUMENT = "\n".join((
     "Restaurant name: {name}", "Restaurant ID: {id}", "Category: {category}", "Cuisine tags: {cuisine_tags}", "Price range: {price_range}", "Address: {full_address}",
     "Average calories: {average_calories} kcal", "Average protein: {average_protein} g", "Average fiber: {average_fiber} g", "Health score: {health_score}",
@@ -92,6 +93,7 @@ def safe_answer(found: dict[str, Column], raw: Column) -> Column:
     marker = "Recommended Restaurant:"
     reason = F.when(F.contains(reason, F.lit(marker)), text.strip(text.before(reason, marker))).otherwise(reason)
     reason = F.when(F.length(reason) < 20, DEFAULT_REASON).otherwise(reason)
+    # Fixed value: the answer's wording.
     body = "Recommended Restaurant:\n{restaurant_name}\n\nNutrition Summary:\n{average_calories} kcal\n{average_protein} g protein\n{average_fiber} g fiber\n\nRecommended Reason:\n{reason}"
     return filled(body, reason=reason, **{k: found[k] for k in ("restaurant_name", "average_calories", "average_protein", "average_fiber")})
 

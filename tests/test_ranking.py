@@ -33,6 +33,14 @@ def test_ties_keep_menu_order(spark):
     assert 0 <= r["match_score"] <= 100
 
 
+def test_item_health_total(spark):
+    # parts by hand: 500 kcal with 40 g protein and 10 g fiber are at both bounds; fat 10 g is 18 % of the energy
+    for values, want in (((500, 40, 50, 10, 10), 15 + 10 + 5 + 10), ((1000, 20, 50, 60, 5), 4 + 3 + 0 + 0), ((0, 10, 0, 0, 0), 0 + 0 + 5 + 10)):
+        item = spark.createDataFrame([tuple(map(float, values))], "kcal double, protein double, carbs double, fat double, fiber double")
+        row = nutrition.Item(**{f: F.col(f) for f in nutrition.Item.__dataclass_fields__})
+        assert item.select(nutrition.health_total(row)).first()[0] == want
+
+
 def test_empty_menu(spark):
     r = ranking.matched(venue(spark, []), nutrition.Profile()).first()
     assert (r["average_calories"], r["meal_type"], r["protein_score"], r["health_score"]) == (650.0, "normal", 60.0, 60.0)
