@@ -250,6 +250,43 @@ def test_html(spark):
     assert html.unescape("&amp more") == "& more"
 
 
+TITLE, BODY = "Title of it", " ".join(["Words of the article stand here."] * 4)
+WHOLE = f"<h1>{TITLE}</h1><p>{BODY}</p>"
+ARTICLE = f"<article>{WHOLE}</article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar">{ARTICLE}<div class="sidebar">x y z</div></div>', f'<div class="page no-sidebar"><main>{WHOLE}</main></div>', f'<div id="header-wrap">{ARTICLE}</div>',
+        f'<form id="aspnetForm"><nav>menu</nav>{ARTICLE}<footer>foot</footer></form>', f"<form><nav>menu</nav>{WHOLE}<footer>foot</footer></form>", f'<p data-x="hidden">{ARTICLE}',
+        f'<article><div class="article-header"><h1>{TITLE}</h1></div><p title="hidden gems">{BODY}</p></article>', f'<article><div class="header"><h1>{TITLE}</h1></div><p class="share-price">{BODY}</p></article>',
+        f'<article><h1>{TITLE}</h1><section class="related-work"><p>{BODY}</p></section></article>', f'<div class="ad-slot">{ARTICLE}', f'<div class="post comments-open">{ARTICLE}</div>',
+    ],
+)
+def test_html_keeps_articles_in_containers_named_like_furniture(page):
+    assert html_extract.kept_text(page, set())[0] == f"{TITLE}\n{BODY}"
+
+
+@pytest.mark.parametrize(
+    "more",
+    [
+        f'<div class="comments"><article>{"a reader says so. " * 40}</article></div>', "<div hidden>no</div>", '<div style="display: none">no</div>', '<div aria-hidden="true"><main>no</main></div>',
+        '<div role="navigation">no</div><div role="form">no</div>', "<form><p>Enter your name</p></form>", '<div class="advert">no</div><aside><article>no</article></aside>', '<div class="no ad">no</div>',
+    ],
+)
+def test_html_drops_furniture_beside_and_in_the_article(more):
+    assert html_extract.kept_text(ARTICLE + more, set())[0] == f"{TITLE}\n{BODY}"
+    if "<article>" not in more:
+        assert html_extract.kept_text(f"<article>{WHOLE}{more}</article>", set())[0] == f"{TITLE}\n{BODY}"
+
+
+def test_html_drops_named_parts_of_the_article():
+    parts = '<section class="comment-list"><p>me too</p></section><div class="related-posts"><a href="x">More of these</a></div><div class="newsletter-signup">Sign up</div><div class="share">Share</div>'
+    assert html_extract.kept_text(f"<article>{WHOLE}{parts}</article>", set())[0] == f"{TITLE}\n{BODY}"
+    assert html_extract.kept_text("<form><p>Enter your name here</p></form>", set())[0] == ""
+
+
 def test_passages_against_brute_force(spark):
     shared, rare = text(11, 57), text(12, 50)
     docs = [f"{text(20 + i, 80)} {shared} {text(40 + i, 30 + i)}" for i in range(12)] + [f"{text(60, 9)} {rare}", f"{rare} {text(61, 90)}", text(62, 200), text(62, 200), text(63, 49), text(63, 49), f"{shared[:-60]}"]
