@@ -11,6 +11,9 @@
    the threshold with the asked-for precision is chosen; spans above it are kept
    unless they overlap a base span or a better one.
 
+Work on one text grows with its length and, by n^(4/3) at most, with its n matches
+(:func:`running`); overlaps are found by halving.
+
 Places are code points, ends exclusive.  The patterns have no nested repeats over
 long runs, so very long runs of digits or letters take linear time and no deep
 stack.  Defined results: a null text is empty and has no spans; repeated rows give
@@ -21,7 +24,7 @@ repeated rows; extra columns are ignored by :func:`find`, and kept by
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +40,8 @@ ROUNDS = 24
 RATE = 0.3
 PRECISION = 0.97
 CONTEXT = 24
+#: Code points of a piece of a text: a place is found without walking over the whole text.
+CHUNK = 1024
 
 # Between digits a single blank or dash joins them; it is replaced by this mark first, one for one,
 # so that a run of joined digits is one run of a character class.
@@ -55,27 +60,86 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-
 NONE = "cast(array() as array<struct<kind: string, start: bigint, end: bigint, s: string>>)"
 
 
-def spans_of(text: Column, pattern: str, kind: str, guard: Column) -> Column:
-    """Leftmost matches that do not overlap, as (kind, start, end, s); only texts under ``guard`` are searched.
+def running(a: Column, add: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """Running totals of an array of longs, each with its own element.
 
-    The pieces between matches and the matches themselves add up to the places.
+    An array grows by copying, so n totals are made in blocks of the cube root of
+    n: totals within blocks, the same over the blocks' last ones, and both added.
     """
 
-    def places(both: Column) -> Column:
-        gaps, found = both["gaps"], both["found"]
-        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(NONE).alias("out"))
-        lengths = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).cast("bigint").alias("gap"), m.alias("m")))
+    def short(block: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return let(F.when(F.size(acc) == 0, x).otherwise(add(F.element_at(acc, -1), x)), lambda v: F.concat(acc, F.array(v)))
+
+        return F.aggregate(block, F.expr("cast(array() as array<bigint>)"), step)
+
+    def blocks(a: Column) -> Column:
+        long = F.greatest(F.ceil(F.pow(F.size(a), F.lit(1.0 / levels))), F.lit(1)).cast("int")
+        cut = let(long, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / n).cast("int")), lambda b: F.slice(a, b * n + 1, n)))
+        within = F.transform(cut, short)
+        return let(within, lambda w: let(running(F.transform(w, lambda b: F.element_at(b, -1)), add, levels - 1), lambda last: joined(w, last)))
+
+    def joined(w: Column, last: Column) -> Column:
+        return F.flatten(F.transform(w, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: add(F.get(last, i - 1), x)))))
+
+    if levels == 1:
+        return short(a)
+    return let(a, lambda x: F.when(F.size(x) < 8, short(x)).otherwise(blocks(x)))
+
+
+def up_to(sorted_longs: Column, at: Column) -> Column:
+    """How many of the longs are at most ``at``, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(sorted_longs).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        right = F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
+        left = F.struct(s["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(F.get(sorted_longs, mid) <= at, right).otherwise(left)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(sorted_longs)))), start, halve, lambda s: s["lo"])
+
+
+def sides(kinds: list[Column]) -> Column:
+    """Each kind's spans with their starts and ends; spans of one kind never overlap, so both rise."""
+    of = lambda a: F.struct(a.alias("all"), F.transform(a, lambda x: x["start"]).alias("starts"), F.transform(a, lambda x: x["end"]).alias("ends"))
+    return F.array(*map(of, kinds))
+
+
+def part(chunks: Column, at: Column, n: Column) -> Column:
+    """``n`` code points of a chunked text from place ``at``; only their chunks are read."""
+    first, last = F.floor(at / CHUNK), F.floor((at + n) / CHUNK)
+    near = F.array_join(F.slice(chunks, first.cast("int") + 1, (last - first).cast("int") + 1), "")
+    return F.substring(near, (at - first * CHUNK).cast("int") + 1, n.cast("int"))
+
 
-        def add(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            end = start + F.length(x["m"])
-            one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("s"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+def chunked(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-        return F.aggregate(lengths, zero, add, lambda acc: acc["out"])
 
-    both = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    return F.when(guard, let(both, places)).otherwise(F.expr(NONE))
+def matches(text: Column, pattern: str, guard: Column) -> Column:
+    """Leftmost matches that do not overlap, and the pieces between them; only texts under ``guard`` are searched."""
+    return F.when(guard, F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")))
+
+
+def with_spans(df: DataFrame, searches: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds ``c_<name>``, the matches of each search as (kind, start, end, s).
+
+    Pieces and matches add up to the places; all searches' sums are one expression,
+    which would take seconds to plan for each.
+    """
+    df = df.select("*", *(found.alias(f"m_{name}") for name, (_, found) in searches.items()))
+    lengths = lambda m: F.coalesce(F.transform(m["found"], lambda s, i: (F.length(F.get(m["gaps"], i)) + F.length(s)).cast("bigint")), F.expr("cast(array() as array<bigint>)"))
+    df = df.withColumn("ends", F.transform(F.array(*(lengths(F.col(f"m_{name}")) for name in searches)), lambda x: running(x, lambda a, b: a + b)))
+
+    def spans(name: str, kind: str, number: int) -> Column:
+        def one(s: Column, end: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), (end - F.length(s)).alias("start"), end.alias("end"), s.alias("s"))
+
+        placed = F.transform(F.col(f"m_{name}.found"), lambda s, i: one(s, F.get(F.get("ends", F.lit(number)), i)))
+        return F.coalesce(placed, F.expr(NONE)).alias(f"c_{name}")
+
+    return df.select("*", *(spans(name, kind, i) for i, (name, (kind, _)) in enumerate(searches.items()))).drop("ends", *(f"m_{name}" for name in searches))
 
 
 def digits_of(s: Column) -> Column:
@@ -107,23 +171,32 @@ def proposals(df: DataFrame) -> DataFrame:
     df = df.withColumn("j", joined)
     j = F.col("j")
     some = lambda p: t.rlike(p)
-    df = df.select(
-        "*",
-        spans_of(t, EMAIL, "email", t.contains("@")).alias("c_email"),
-        spans_of(t, IP, "ip", some(r"[0-9]\.[0-9]")).alias("c_ip"),
-        spans_of(j, DIGITS, "card", j.rlike(f"[0-9{JOIN}]{{8}}")).alias("c_card"),
-        spans_of(t, PHONE, "phone", t.contains("+")).alias("c_phone"),
-        spans_of(t, SECRET, "secret", some("[A-Za-z0-9_+/-]{20}")).alias("c_secret"),
-        spans_of(t, LOCAL_PHONE, "local_phone", some("[0-9][ .-][0-9]{4}")).alias("c_local"),
-        spans_of(t, NATIONAL, "national_id", some("[0-9]{2}(-[0-9]{4}|[A-Z0-9]{11})")).alias("c_national"),
-    )
+    searches = {
+        "email": ("email", matches(t, EMAIL, t.contains("@"))),
+        "ip": ("ip", matches(t, IP, some(r"[0-9]\.[0-9]"))),
+        "card": ("card", matches(j, DIGITS, j.rlike(f"[0-9{JOIN}]{{8}}"))),
+        "phone": ("phone", matches(t, PHONE, t.contains("+"))),
+        "secret": ("secret", matches(t, SECRET, some("[A-Za-z0-9_+/-]{20}"))),
+        "local": ("local_phone", matches(t, LOCAL_PHONE, some("[0-9][ .-][0-9]{4}"))),
+        "national": ("national_id", matches(t, NATIONAL, some("[0-9]{2}(-[0-9]{4}|[A-Z0-9]{11})"))),
+    }
+    df = with_spans(df, searches)
     long_runs = F.filter("c_card", lambda x: F.length(digits_of(x["s"])).between(8, 19))
     accounts = F.transform(long_runs, lambda x: x.withField("kind", F.lit("account")))
     checked = lambda kind: F.filter(f"c_{kind}", lambda x: holds(kind, x["s"]))
-    base = F.concat(*map(checked, KINDS))
-    df = df.select("*", base.alias("base"), F.concat(accounts, "c_secret", "c_local", "c_national").alias("proposed"))
-    clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return df.withColumn("more", F.filter("proposed", clear)).drop("j", "proposed", *(f"c_{k}" for k in ("email", "ip", "card", "phone", "secret", "local", "national")))
+    df = df.select("*", *(checked(k).alias(f"b_{k}") for k in KINDS))
+    df = df.select("*", F.concat(*(f"b_{k}" for k in KINDS)).alias("base"), F.concat(accounts, "c_secret", "c_local", "c_national").alias("proposed"))
+
+    def meets(x: Column, of: Column) -> Column:
+        """Whether the first span that ends behind x's start begins before x's end."""
+        return F.coalesce(F.get(of["starts"], up_to(of["ends"], x["start"])) < x["end"], F.lit(False))
+
+    def clear(bases: Column) -> Column:
+        return F.filter("proposed", lambda x: ~F.exists(bases, lambda of: meets(x, of)))
+
+    more = F.when((F.size("base") == 0) | (F.size("proposed") == 0), F.col("proposed")).otherwise(let(sides([F.col(f"b_{k}") for k in KINDS]), clear))
+    made = [*(f"c_{k}" for k in searches), *(f"b_{k}" for k in KINDS)]
+    return df.withColumn("more", more).drop("j", "proposed", *made)
 
 
 #: Features of a candidate from its kind, its text and the text around it; whole numbers.
@@ -277,17 +350,28 @@ def fitted(spark: SparkSession) -> Model:
 
 def scored(df: DataFrame, model: Model) -> DataFrame:
     """Replaces ``more`` by the chosen spans: above the threshold, and better than those they overlap."""
-    def score(x: Column) -> Column:
-        before = F.substring(F.col("t"), F.greatest(x["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(CONTEXT)).cast("int"))
-        after = F.substring(F.col("t"), x["end"].cast("int") + 1, F.lit(4))
-        cols = features(x["kind"], x["s"], before, after)
-        return let(F.struct(*(c.alias(n) for n, c in cols.items())), lambda f: probability(model, f))
+    def score(x: Column, chunks: Column) -> Column:
+        lead = F.least(x["start"], F.lit(CONTEXT))
+        near = F.struct(part(chunks, x["start"] - lead, lead).alias("before"), part(chunks, x["end"], F.lit(4)).alias("after"))
+        cols = lambda n: F.struct(*(c.alias(name) for name, c in features(x["kind"], x["s"], n["before"], n["after"]).items()))
+        return let(let(near, cols), lambda f: probability(model, f))
 
-    p = F.transform("more", lambda x: x.withField("p", score(x)))
+    p = let(chunked(F.col("t")), lambda chunks: F.transform("more", lambda x: x.withField("p", score(x, chunks))))
     df = df.withColumn("more", F.when(F.size("more") > 0, F.filter(p, lambda x: x["p"] >= model.threshold)))
-    better = lambda x, o: (o["start"] < x["end"]) & (x["start"] < o["end"]) & ((o["p"] > x["p"]) | ((o["p"] == x["p"]) & (F.struct(o["start"], o["kind"]) < F.struct(x["start"], x["kind"]))))
-    alone = F.filter("more", lambda x: ~F.exists("more", lambda o: better(x, o)))
-    return df.withColumn("more", F.when(F.size("more") > 0, alone))
+    better = lambda x, o: (o["p"] > x["p"]) | ((o["p"] == x["p"]) & (F.struct(o["start"], o["kind"]) < F.struct(x["start"], x["kind"])))
+
+    def beaten(x: Column, of: Column) -> Column:
+        """Whether a better span of one kind overlaps x; those that overlap it stand together."""
+        first, end = up_to(of["ends"], x["start"]), up_to(of["starts"], x["end"] - 1)
+        met = let(first, lambda f: F.slice(of["all"], f + 1, F.greatest(end - f, F.lit(0))))
+        return F.exists(met, lambda o: better(x, o))
+
+    def alone(kinds: Column) -> Column:
+        return F.filter("more", lambda x: ~F.exists(kinds, lambda of: beaten(x, of)))
+
+    of = lambda kind: F.filter("more", lambda x: x["kind"] == kind)
+    each = sides([of(k) for k in MORE])
+    return df.withColumn("more", F.when(F.size("more") > 1, let(each, alone)).when(F.size("more") == 1, F.col("more")))
 
 
 def probability(model: Model, f: Column) -> Column:
@@ -335,16 +419,20 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def cut(spans: Column) -> Column:
         """Overlapping spans are cut as one, under the first one's kind."""
-        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+        t = F.col("t")
+
+        def pieces(x: Column) -> Column:
+            """The text before each span and the span's mark, and the text behind the last one."""
+            def piece(span: Column, i: Column) -> Column:
+                return let(F.coalesce(F.get(x["ends"], i - 1), F.lit(0).cast("bigint")), lambda at: F.concat(part(x["chunks"], at, F.greatest(span["start"] - at, F.lit(0))), F.when(span["start"] >= at, F.concat(F.lit("<"), span["kind"], F.lit(">"))).otherwise("")))
 
-        def add(acc: Column, x: Column) -> Column:
-            kept = F.substring(F.col("t"), acc["at"].cast("int") + 1, F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-            mark = F.when(x["start"] >= acc["at"], F.concat(F.lit("<"), x["kind"], F.lit(">"))).otherwise("")
-            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, mark).alias("out"))
+            last = F.element_at(x["ends"], -1)
+            return F.concat(F.array_join(F.transform(spans, piece), ""), part(x["chunks"], last, F.length(t) - last))
 
-        return F.aggregate(spans, zero, add, lambda a: F.concat(a["out"], F.substring(F.col("t"), a["at"].cast("int") + 1, F.length("t"))))
+        ends = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+        return let(F.struct(ends.alias("ends"), chunked(t).alias("chunks")), pieces)
 
     placed = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     df = df.select("row", "t", placed.alias("placed"))
     text = F.when(F.size("placed") > 0, cut(F.col("placed"))).otherwise(F.col("row.text"))
-    return df.select(F.col("row").withField("text", text).alias("row")).select("row.*")
+    return df.select(*((text if c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))

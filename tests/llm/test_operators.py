@@ -1,7 +1,9 @@
 """Corpus operators on small tables, against brute force or exact round trips."""
 
 import hashlib
+import bisect
 import html
+import itertools
 import random
 import re
 import zlib
@@ -242,6 +244,37 @@ def test_pii_finds_short_accounts_alone(spark):
     assert pii.redacted(docs, model).where("doc_id = 0").first()["text"] == "bank account no <account> and"
 
 
+def test_pii_sums_and_places(spark):
+    r = random.Random(3)
+    rows = [([r.randrange(50) for _ in range(n)],) for n in (0, 1, 7, 8, 9, 26, 27, 28, 63, 64, 65, 500, 1001)]
+    df = spark.createDataFrame(rows, "a array<bigint>")
+    places = F.transform(F.array(*(F.lit(x).cast("bigint") for x in range(-1, 51))), lambda x: pii.up_to(F.sort_array("a"), x))
+    for a, sums, most, found in df.select("a", pii.running(F.col("a"), lambda x, y: x + y), pii.running(F.col("a"), F.greatest), places).collect():
+        assert sums == list(itertools.accumulate(a)) and most == list(itertools.accumulate(a, max))
+        assert found == [bisect.bisect_right(sorted(a), x) for x in range(-1, 51)]
+
+
+def test_pii_texts_with_many_spans(spark):
+    """Places beyond the first pieces of a text, and characters of several bytes before them."""
+    one = "\u00e9\U0001f600 a%d@b.org (555) 123-4567 konto 123 456 789 ssn 123-45-6789 9.9.9.9 "
+    t = "".join(one % i for i in range(3000))
+    docs = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    model = pii.fitted(spark)
+    got = pii.find(docs, model).first()
+    spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in got["spans"].split(","))]
+    assert [t[a:b] for k, a, b in spans if k == "email"] == [f"a{i}@b.org" for i in range(3000)]
+    assert (got["n_ip"], got["n_more"]) == (3000, len(spans) - 6000)
+    few = pii.find(spark.createDataFrame([(1, one % 7)], "doc_id long, text string"), model).first()["spans"]
+    per = [x.split(":")[0] for x in few.split(",")]
+    assert all(sum(k == kind for k, _, _ in spans) == 3000 for kind in set(per)) and len(spans) == 3000 * len(per)
+    placed = sorted((a, b, k) for k, a, b in spans)
+    want, at = [], 0
+    for a, b, k in placed:
+        want += [t[at:a], f"<{k}>"] if a >= at else []
+        at = max(at, b)
+    assert pii.redacted(docs, model).first()["text"] == "".join(want) + t[at:]
+
+
 def test_html(spark):
     boiler = "Read this long notice that every page of the host carries word for word so that readers know what they agree to when they stay here today"
     rows = [(1, "http://h.org/1", PAGE), (2, "http://h.org/2", None), (3, "http://h.org/3", f"<div>{text(1, 40)}</div><div>{boiler}</div>"), (4, "http://h.org/4", f"<div>{boiler}</div><div>{text(2, 40)}</div>"), (5, "http://o.org/", f"<div>{boiler}</div>")]
