@@ -418,6 +418,51 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
         assert all(got[j] == got[i] for j in near)
 
 
+def template_texts(n):
+    """Texts of one template whose five-word shingles have a similarity of 0.37 or so: no near copies."""
+    base, rows = text(55, 300).split(), []
+    for i in range(n):
+        r = random.Random(i)
+        rows.append((i, " ".join(f"own{r.randrange(10**9)}" if r.random() < 0.06 else w for w in base)))
+    return rows
+
+
+def test_texts_of_a_template_are_not_compared_by_shingles(spark, monkeypatch):
+    made = {}
+    real = near_dedup.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", counted)
+    rows = template_texts(800)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] for r in got)
+    assert made["members"] > 2 * len(rows) and made["cells"] < len(rows)
+
+
+def test_tiles_and_cells_find_each_pair_of_two_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 7)
+    monkeypatch.setattr(near_dedup, "CELL", 2000)
+    base, rows = text(91, 200).split(), []
+    for i in range(60):
+        w, r = list(base), random.Random(i)
+        for _ in range(r.randrange(3, 14)):
+            w[r.randrange(len(w))] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    sets = {i: near_dedup.shingles(t) for i, t in rows}
+    nodes = near_dedup.sketches(near_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"))).withColumn("id", F.col("doc_id"))
+    under = nodes.select(F.lit(0).cast("long").alias("c"), "id", F.lit(False).alias("far"))
+    comps = nodes.select("id", F.col("id").alias("comp"))
+    dealt = near_dedup.cells(near_dedup.tiles(under, comps, nodes))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    found = {(r["a"], r["b"]) for r in near_dedup.compared(dealt, texts, 0.8).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and near_dedup.probability_jaccard(sets[a], sets[b]) >= 0.8 - 1e-9}
+    assert len(want) > 100 and found == want
+
+
 def test_spans_of_texts_that_share_an_id(spark):
     shared = text(31, 60)
     rows = [(1, f"{text(32, 60)} {shared}"), (2, f"{shared} {text(33, 60)}"), (2, text(34, 200)), (3, text(35, 80)), (3, text(35, 80))]
