@@ -3,16 +3,22 @@
 Every text's rolling three-word hashes are joined to the places of the same
 hashes in a fixed table of license wordings (a few thousand rows, so it is
 broadcast).  A match of text place p with wording place q votes for the diagonal
-p - q of that text and wording; votes are summed by diagonal, diagonals a few
-words apart are merged (words were inserted or dropped), and a span counts once
-enough of the wording's places are found in it.  Wordings that differ by a few
-words (a license with and without a restriction) both reach that; :func:`licenses`
-leaves out a span that lies in another one at least as well covered, looking at
-the ``BEFORE`` spans before it (ordered by first word, the best covered first).
+p - q of that text and wording; votes are summed by diagonal, and diagonals a few
+words apart are merged (words were inserted or dropped).  Merged diagonals with
+enough of the wording's places are verified in the order of the text: a span ends
+where the wording's place does not rise (the wording starts again) or the
+diagonal leaves its neighbourhood, so repeated notices are as many spans, and a
+span drifts by ``NEAR`` words at most for each place found; it counts if it holds
+enough places itself.  Wordings that differ by a few words (a license with and
+without a restriction) both reach that; :func:`licenses` leaves out a span that
+lies in another one at least as well covered, of all that overlap.
 
 Defined results: a null text is empty: no words, null places, empty labels and a
 score of 0; repeated rows give repeated rows (a text is known by its id and its
-hash, so copies do not add up votes); extra columns are ignored.
+hash, so copies do not add up votes); an empty table gives an empty result; extra
+columns are ignored.  A very long text is one array of words in its task; its
+matches and spans are rows, sorted by windows that spill.  Spans that overlap in
+one chain are compared with one another in one task.
 """
 
 from __future__ import annotations
@@ -30,8 +36,6 @@ GRAM = 3
 NEAR = 6
 #: The share of a wording's places that must be found.
 COVERED = 0.6
-#: Spans before one that may hold it; there are as many only where wordings overlap.
-BEFORE = 8
 #: The score of a text that only names a license.
 NAMED = 0.5
 
@@ -79,6 +83,10 @@ WORDINGS = (
     ("cc-by", "SPDX-License-Identifier: CC-BY-4.0"),
     ("cc-by-nc", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     ("cc-by-sa", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
 
 
@@ -122,15 +130,33 @@ def license_spans(docs: DataFrame, wordings=WORDINGS) -> DataFrame:
     # outer: for the inner form the optimizer adds a filter on the array's size and evaluates all of it there once more
     hashes = words.select("doc_id", "h", grams(F.col("w")).alias("gs")).select("doc_id", "h", F.posexplode_outer("gs").alias("p", "g"))
     hits = hashes.join(F.broadcast(wording_places(docs.sparkSession, wordings)), "g")
-    votes = hits.groupBy("doc_id", "h", "wording", "label", "places", (F.col("p") - F.col("q")).alias("diagonal")).agg(
-        F.collect_set("q").alias("qs"), F.min("p").alias("first"), F.max("p").alias("last")
-    )
+    key = ("doc_id", "h", "wording", "label", "places")
+    votes = hits.groupBy(*key, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set(F.struct("p", "q")).alias("hits"))
     by = Window.partitionBy("doc_id", "h", "wording").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > NEAR).cast("int"), F.lit(1))
-    merged = votes.withColumn("run", F.sum(new).over(by)).groupBy("doc_id", "h", "wording", "label", "places", "run")
-    spans = merged.agg(F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("found"))
-    share = F.round(F.size("found") / F.col("places"), 6)
-    return spans.select("doc_id", "h", "label", "first", "last", share.alias("coverage"), F.size("found").alias("found")).where(F.col("coverage") >= COVERED)
+    merged = votes.withColumn("run", F.sum(new).over(by)).groupBy(*key, "run").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    likely = merged.where(F.size(F.array_distinct("hits.q")) >= COVERED * F.col("places")).select(*key, "run", F.inline("hits"))
+    along = Window.partitionBy("doc_id", "h", "wording", "run").orderBy("p", "q")
+    before = F.lag(F.struct("p", "q")).over(along)
+    turns = (F.col("q") <= before["q"]) | (F.abs(F.col("p") - F.col("q") - before["p"] + before["q"]) > NEAR)
+    traced = likely.withColumn("turn", F.coalesce(turns.cast("int"), F.lit(0))).withColumn("part", F.sum("turn").over(along))
+    spans = traced.groupBy(*key, "run", "part").agg(F.min("p").alias("first"), (F.max("p") + GRAM - 1).alias("last"), F.count("*").cast("int").alias("found"))
+    return spans.select("doc_id", "h", "label", "first", "last", F.round(F.col("found") / F.col("places"), 6).alias("coverage"), "found").where(F.col("coverage") >= COVERED)
+
+
+def best_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, h, covered, spans): each text's spans in order, without those inside others at least as well covered.
+
+    Only spans that overlap are compared: a group ends where one starts behind all before it.
+    """
+    ranked = spans.select("doc_id", "h", "first", (-F.col("coverage")).alias("lack"), (-F.col("found")).alias("fewer"), "label", "last")
+    by = Window.partitionBy("doc_id", "h").orderBy("first", "lack", "fewer", "label", "last")
+    reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    apart = ranked.withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1))).withColumn("chain", F.sum("new").over(by))
+    each = apart.groupBy("doc_id", "h", "chain").agg(F.min("lack").alias("lack"), F.sort_array(F.collect_set(F.struct("first", "lack", "fewer", "label", "last"))).alias("ranked"))
+    best = F.filter("ranked", lambda s, i: ~F.exists(F.slice("ranked", 1, i), lambda b: (b["last"] >= s["last"]) & (b["lack"] <= s["lack"])))
+    chains = each.select("doc_id", "h", "lack", best.alias("spans"))
+    return chains.groupBy("doc_id", "h").agg((-F.min("lack")).alias("covered"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def licenses(docs: DataFrame, wordings=WORDINGS, phrases=PHRASES) -> DataFrame:
@@ -141,13 +167,7 @@ def licenses(docs: DataFrame, wordings=WORDINGS, phrases=PHRASES) -> DataFrame:
     starts = [F.col(f"p{i}") for i in range(len(phrases))]
     named = F.array_compact(F.array(*(F.when(F.size(s) > 0, label) for s, (_, label) in zip(starts, phrases, strict=True))))
     df = df.select("doc_id", "h", "n_words", F.concat(*starts).alias("all"), F.array_sort(F.array_distinct(named)).alias("named"))
-    found = license_spans(docs, wordings).groupBy("doc_id", "h").agg(
-        F.max("coverage").alias("covered"),
-        F.sort_array(F.collect_set(F.struct("first", (-F.col("coverage")).alias("lack"), (-F.col("found")).alias("fewer"), "label", "last"))).alias("ranked"),
-    )
-    before = lambda i: F.slice("ranked", F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE)))
-    best = F.filter("ranked", lambda s, i: ~F.exists(before(i), lambda b: (b["last"] >= s["last"]) & (b["lack"] <= s["lack"])))
-    found = found.select("*", best.alias("spans")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("spans.label").alias("more"), "covered", "spans")
+    found = best_spans(license_spans(docs, wordings)).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("spans.label").alias("more"), "covered", "spans")
     out = df.join(found, (F.col("h") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     labels = F.array_sort(F.array_union("named", F.coalesce("more", F.expr("cast(array() as array<string>)"))))
     return out.select(
@@ -185,11 +205,14 @@ vote as (select t.rid, q.wording, q.label, q.places, t.p, q.p as q, t.p - q.p as
 diagonals as (select distinct rid, wording, diagonal from vote),
 steps as (select *, case when diagonal - lag(diagonal) over o <= {NEAR} then 0 else 1 end as new from diagonals window o as (partition by rid, wording order by diagonal)),
 runs as (select rid, wording, diagonal, sum(new) over (partition by rid, wording order by diagonal) as run from steps),
-likely as (select rid, label, min(p) as first, max(p) + 2 as last, count(distinct q) as found, round(count(distinct q) / any_value(places), 6) as coverage
-           from vote join runs using (rid, wording, diagonal) group by rid, wording, label, run having coverage >= {COVERED}),
+hits as (select rid, wording, run, label, places, p, q from vote join runs using (rid, wording, diagonal)),
+turns as (select *, case when q <= lag(q) over o or abs(p - q - lag(p - q) over o) > {NEAR} then 1 else 0 end as turn from hits window o as (partition by rid, wording, run order by p, q)),
+parts as (select *, sum(turn) over (partition by rid, wording, run order by p, q) as part from turns),
+likely as (select rid, label, min(p) as first, max(p) + 2 as last, count(*) as found, round(count(*) / any_value(places), 6) as coverage
+           from parts group by rid, wording, label, run, part having coverage >= {COVERED}),
 ranked as (select *, row_number() over (partition by rid order by first, coverage desc, found desc, label, last) as i from (select distinct * from likely)),
 spans as (select * from ranked s where not exists (
-            select 1 from ranked b where b.rid = s.rid and b.i between s.i - {BEFORE} and s.i - 1 and b.last >= s.last and b.coverage >= s.coverage)),
+            select 1 from ranked b where b.rid = s.rid and b.i < s.i and b.last >= s.last and b.coverage >= s.coverage)),
 found as (select rid, max(coverage) as covered, list(distinct label) as more, list_sort(list(distinct {{'first': first, 'last': last, 'label': label}})) as spans from spans group by rid),
 base as (select rid, sum({" + ".join(f"s{i}::int" for i in range(len(PHRASES)))})::bigint as n_base,
                 min(p) filter ({" or ".join(f"s{i}" for i in range(len(PHRASES)))}) as first_word, max(p) filter ({" or ".join(f"s{i}" for i in range(len(PHRASES)))}) as last_word,

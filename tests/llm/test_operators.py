@@ -204,6 +204,33 @@ def test_license_sql_on_neighbouring_wordings(spark, tmp_path):
     compare(spark, "op6", lambda s, d: licenses.licenses(s.read.parquet(f"{d}/documents.parquet")), licenses.ORACLE, str(tmp_path / "whole"))
 
 
+def test_repeated_notices_are_as_many_spans(spark, tmp_path):
+    """Verbatim wordings between other words, and the same one many times in a row, against a search for whole wordings."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    whole = [(label, cut(t)) for label, t in licenses.WORDINGS]
+    texts = {0: " ".join(["All rights reserved."] * 40), 1: "\n".join(["SPDX-License-Identifier: MIT"] * 40)}
+    for n in range(2, 202):
+        r, parts = random.Random(n), []
+        for _ in range(r.randrange(6)):
+            parts += [text(r.random(), r.randrange(1, 9))] + [r.choice(licenses.WORDINGS)[1]] * r.choice([1, 1, 1, 2, 5])
+        texts[n] = " ".join(parts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["spans"] for r in licenses.licenses(docs).collect()}
+    for n, t in texts.items():
+        w = cut(t)
+        found = {(i, i + len(p) - 1, label) for label, p in whole for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p}
+        kept = sorted(s for s in found if not any(b[0] <= s[0] and b[1] >= s[1] and b[:2] != s[:2] for b in found))
+        assert got[n] == ",".join(f"{label}:{i}:{j}" for i, j, label in kept), n
+    assert got[0].count("reserved:") == 40 and got[1].count("mit:") == 40
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"select doc_id, spans, labels, score from ({licenses.ORACLE})").fetchall()
+    assert {w[0]: w[1] for w in want} == got
+
+
 def test_pii_base_spans(spark):
     texts = ["mail A.b@c-d.org, x@y and 10.2.3.4 or 300.1.1.1", "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "call +49 (30) 1234-567 now", "é a@b.c", "", None, "1.2.3.4.5.6.7.8 a@b@c.d"]
     got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
