@@ -114,3 +114,18 @@ def drop_prefixes(c: Column, prefixes: tuple[str, ...]) -> Column:
 def whole(c: Column) -> Column:
     """A number without decimals, ties to even."""
     return F.bround(c.cast("double")).cast("bigint").cast("string")
+
+
+def fixed3(c: Column) -> Column:
+    """A number with three decimals; the double itself is rounded, not its short decimal form, ties away from zero.
+
+    Exact below 8192: the double is split into two parts whose products with 1000
+    are exact.  Larger numbers are rounded from their short decimal form.
+    """
+    x = F.abs(c.cast("double"))
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    a, b = high * F.lit(1000.0), (x - high) * F.lit(1000.0)
+    n = F.floor(a) + F.when(a - F.floor(a) - F.lit(0.5) >= -b, 1).otherwise(0)
+    small = F.concat(F.when(c.cast("double") < 0, "-").otherwise(""), F.floor(n / F.lit(1000)).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    return F.when(x < 8192, small).when(x >= 8192, F.format_string("%.3f", c.cast("double")))

@@ -371,4 +371,5 @@ union all select user_id, 'view', item_id, pos, null, epoch_us(v[1]) from r wher
 union all (select user_id, 'profile', null, null, 'w' || item_id, epoch_us(ts) from known where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)""",
     "stored_profiles": with_(EV, "l as (select * from ev where user_id is not null qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)") + "select user_id, case when item_id % 7 = 0 or item_id % 5 = 0 then 75.0 else item_id end::double as weight, case when item_id % 7 = 0 or item_id % 5 = 0 then 'gain-muscle' else 'maintain' end as goal from l",
     "venue_lookup": with_(RAW) + "select cast(c_custkey as varchar) as id, coalesce(v.name, p.p_name) as name from customer c left join venues v on v.id = cast(c_custkey as varchar) left join part p on p.p_partkey = c_custkey where coalesce(v.name, p.p_name) is not null",
+    "bucketed_lookup": with_(RAW) + "select cast(c_custkey as varchar) as id, coalesce(v.name, p.p_name) as name from customer c left join venues v on v.id = cast(c_custkey as varchar) left join part p on p.p_partkey = c_custkey where coalesce(v.name, p.p_name) is not null",
 }

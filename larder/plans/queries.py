@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from larder.functions import nutrition, rules, text
 from larder.operators import curate, documents, features, models, places, ranking, relational, state, vectors
 from larder.plans import standins, views
 from larder.plans.views import table
-from larder.sources import tables
+from larder.sources import catalog, tables
 from larder.streaming import stores, users
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,3 +429,13 @@ def venue_lookup(spark, sf):
     ids = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"))
     late = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
     return state.lookup([views.venues(spark, sf).select("id", "name"), late], ids)
+
+
+@query
+def bucketed_lookup(spark, sf):
+    folder, mark = tables.new_folder(spark, "catalog"), uuid.uuid4().hex
+    ids = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    late = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
+    named = {"ids": ids, "venues": views.venues(spark, sf).select("id", "name"), "late": late}
+    at = {k: catalog.write_bucketed(df, f"{k}_{mark}", folder) for k, df in named.items()}
+    return catalog.lookup(spark, at["ids"], [at["venues"], at["late"]], ["name"])
