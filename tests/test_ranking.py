@@ -63,3 +63,22 @@ def test_place_without_fields(spark):
     raw = spark.createDataFrame([(None, None, None, None)], "id string, displayName struct<text: string>, formattedAddress string, primaryType string")
     r = places.adapted(raw).first()
     assert (r["name"], r["category"], r["cuisine"]) == ("Unknown Restaurant", "Restaurant", "General")
+
+
+def test_equal_people_are_ranked_once_and_as_the_columns_do(spark):
+    menus = [[ITEM("a", 600, 40, 50, 20, 8), ITEM("b", 600, 40, 50, 20, 8), ITEM("c", 650, 10, 50, 20, 1)], [], [ITEM("z", 0, 0, 0, 0, 0)], [("n", "n", None, 30.0, None, 5.0, 9.0, []), ITEM("d", 900, 55, 90, 45, 2)], None]
+    rows = [(f"v{i}", m, "Sushi" if i % 2 else None, "Bowls", ["Healthy Meal"], ("healthy", "cheat", None)[i % 3]) for i, m in enumerate(menus * 3)]
+    venues = spark.createDataFrame(rows, f"id string, menu {ranking.MENU}, cuisine string, category string, tags array<string>, meal_type string")
+    kinds = [(175.0, "gain-muscle", "healthy", ["Sushi ", None]), (160.0, "lose-fat", "normal", ["bow"]), (0.0, "maintain", "cheat", []), (None, None, None, None), (181.0, "maintain", "healthy", [""])]
+    people = spark.createDataFrame([(i, *kinds[i % 5]) for i in range(40)], "k long, height double, goal string, meal_type string, favourites array<string>")
+    profile = nutrition.Profile(height=F.col("height"), goal=F.col("goal"), meal_type=F.col("meal_type"), favourites=F.col("favourites"))
+    assert ranking.profiles_of(people, profile, "k").select("_who").distinct().count() == len(kinds)
+    got = sorted(tuple(r) for r in ranking.ranked_each(venues, people, profile, "k", n=7).collect())
+    want = []
+    for r in people.collect():
+        if r["k"] < 5:
+            favourites = F.lit(None).cast("array<string>") if r["favourites"] is None else F.array(*map(F.lit, r["favourites"])).cast("array<string>")
+            one = nutrition.Profile(height=F.lit(r["height"]).cast("double"), goal=F.lit(r["goal"]).cast("string"), meal_type=F.lit(r["meal_type"]).cast("string"), favourites=favourites)
+            best = ranking.ranked(venues, one).select("id", "match_score").take(7)
+            want += [(k, at, b["id"], b["match_score"]) for k in range(r["k"], 40, 5) for at, b in enumerate(best, 1)]
+    assert got == sorted(want)
