@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import rounding, rules, text
+from larder.operators import features
 
 
 def value(spark, column):
@@ -47,3 +49,18 @@ def test_keywords_stand_inside_words(spark):
 def test_rule_sets_differ(spark):
     level = lambda v: value(spark, rules.health_level(F.lit(750), F.lit(10), F.lit(8), v))
     assert (level(1), level(2)) == ("normal", "healthy")
+
+
+def test_each_keyword_is_looked_for_once(spark):
+    menus = spark.createDataFrame([("Pancake Cake", "grilled", "Brunch"), (None, None, None), ("Fish Taco", "", "Deli, BBQ")], "name string, description string, category string")
+    for version in (1, 2):
+        found = features.enriched(menus, version, cuisines=True)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Contains(") == len(rules.estimate_words(version)) + len(rules.cuisine_words(version))
+        low = menus.select(rules.joined(F.col("name"), F.col("description"), F.col("category")).alias("a"), rules.joined(F.col("category"), F.col("name")).alias("b"))
+        kcal = rules.estimate_of(rules.CALORIES, F.col("a"), version)
+        want = low.select(kcal, rules.cuisine_tags_of(F.col("b"), version)).collect()
+        assert [tuple(r) for r in found.select("estimated_calories", "cuisine_tags").collect()] == [tuple(r) for r in want]
+    assert rules.Marks.of(F.col("x"), ["a"] * 63) is not None
+    with pytest.raises(ValueError):
+        rules.Marks.of(F.col("x"), ["a"] * 64)
