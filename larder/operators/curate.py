@@ -5,12 +5,11 @@ from __future__ import annotations
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import rules, text
 from larder.operators.documents import filled
-from larder.operators.features import first_of
 from larder.sources import tables
 from larder.sources.tables import staged
 
@@ -122,10 +121,12 @@ def expanded(items: DataFrame) -> DataFrame:
 
 def chosen_requests(requests: DataFrame, each: int = 5, seed: int = 42) -> DataFrame:
     """A seeded choice of requests for each item, without repeated inputs."""
-    from larder.operators.features import first_rows
-
-    one = first_of(requests, ["restaurant_id", "menu_id", "structured_input"], [F.col("goal"), F.col("template")])
-    return first_rows(one, ["menu_id"], [seeded_order("menu_id", "goal", "template", seed=seed)], each)
+    order, n = [F.col("goal"), F.col("template")], F.row_number()
+    # an item's requests meet once, by windows: these carry the columns that are asked for and no others, and inputs as 128 bits
+    rows = requests.withColumn("_same", F.unhex(F.md5("structured_input"))).repartition("menu_id")
+    firsts = rows.withColumn("_n", n.over(Window.partitionBy("menu_id", "restaurant_id", "_same").orderBy(*order))).where("_n = 1")
+    shuffled = seeded_order("menu_id", "goal", "template", seed=seed)
+    return firsts.withColumn("_n", n.over(Window.partitionBy("menu_id").orderBy(shuffled))).where(F.col("_n") <= each).drop("_n", "_same")
 
 
 def dessert_like(name: Column, category: Column, tags: Column) -> Column:

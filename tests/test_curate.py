@@ -1,5 +1,7 @@
 """Sample generation, tokenised rows and the vector store."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,21 @@ def test_blocks_of_people_rank_as_one_by_one(spark, monkeypatch):
 def test_form_numbers(spark):
     r = spark.range(1).select(*(text.number_input(F.lit(x)) for x in ("12.5", "", "abc"))).first()
     assert r[0] == 12.5 and r[1] == r[2]
+
+
+def test_choice_carries_only_columns_asked_for(spark):
+    rows = [(f"m{i % 4}", f"r{i % 2}", g, t, f"input {g} {t % 2}", "x" * 50) for i in range(8) for g in ("a", "b") for t in range(3)]
+    requests = spark.createDataFrame(rows, "menu_id string, restaurant_id string, goal string, template int, structured_input string, heavy string")
+    some = curate.chosen_requests(requests, each=2).select("menu_id", "goal", "template")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("RepartitionByExpression") :].split("\n")[1]
+    assert moved.strip(" +-").startswith("Project") and "heavy" not in moved and "structured_input" not in moved.replace("md5(cast(structured_input", "")
+    want = []
+    for menu in sorted({r[0] for r in rows}):
+        firsts = {}
+        for m, r, g, t, same, _ in sorted(set(rows)):
+            if m == menu:
+                firsts[r, same] = min(firsts.get((r, same), (g, t)), (g, t))
+        shuffled = sorted(firsts.values(), key=lambda x: hashlib.md5(f"42|{menu}|{x[0]}|{x[1]}".encode()).hexdigest())
+        want += [(menu, g, t) for g, t in shuffled[:2]]
+    assert sorted(tuple(r) for r in some.collect()) == sorted(want)
