@@ -1,4 +1,4 @@
-"""Main text of web pages: markup, and a sparse suffix array for each host.
+"""Main text of web pages: markup, and a suffix array of each host's repeats.
 
 1. :func:`blocks_of` reads a page's whole markup (unclosed tags, bare angle
    brackets and cut-off ends too) into blocks of text, each marked as content (in
@@ -6,18 +6,19 @@
    asides, forms, adverts, notices, reader comments, by element, role or class).
    A form, or an element named like furniture, that holds most of the page is its
    container (:func:`decided`).
-2. The token streams of all of a host's pages, furniture included, feed one sparse
-   suffix array (:mod:`larder.llm.suffixes`), sorted over the cluster by host and
-   content.  Long substrings found on distinct pages cover their places.  Whole
-   blocks too short for it are counted by their hash, where the host has a page
-   that declares no content.
+2. The token streams of all of a host's pages, furniture included, are compared at
+   every place: each run of ``REACH`` tokens that stands on distinct pages covers
+   its places.  A first pass finds the least grams (:mod:`larder.llm.suffixes`) that
+   several pages have; a second sorts the suffixes with such a gram over the
+   cluster, by host and content.  Whole blocks of fewer tokens are counted by their
+   hash, where the host has a page that declares no content.
 3. Furniture goes.  On a page that declares no content the blocks go that repeats
    cover by half, unless nearly all of the page is covered by text of few pages: it
    is then a copy.  In declared content a covered block goes only where its
    repeats look like boilerplate (:func:`dropped`): whole articles and quoted
    passages repeat across a host's pages and stay.
 
-Only block sizes and the numbers of dropped blocks are shuffled, no page text.
+Only hashes, block sizes and the numbers of dropped blocks are shuffled, no page text.
 
 Defined results: null or empty html gives an empty text; references are decoded
 as in HTML (``&amp`` without its semicolon too); white space is Unicode's, the
@@ -39,14 +40,12 @@ from pyspark.sql import functions as F
 
 from larder.llm import words
 from larder.llm.common import arrow_batches, small, staged, text_of
-from larder.llm.suffixes import repeated, retained, run_hashes
-
-#: Tokens of a gram, grams in a minimiser's run, and tokens of a key: the shortest substring that counts as long.
-GRAM, WINDOW, REACH = 6, 30, 20
-#: The run on pages that declare no content, where repeats decide: there any repeat of OPEN_WINDOW + REACH - 1 tokens is found.
-OPEN_WINDOW = 4
-#: Blocks of fewer tokens are counted whole: a longer one holds a repeat that is found surely.
-SHORT = OPEN_WINDOW + REACH - 1
+from larder.llm.suffixes import bitmap, every, hits, run_hashes, spread
+
+#: Tokens of a gram, and of the shortest substring that counts as long.
+GRAM, REACH = 6, 20
+#: Blocks of fewer tokens are counted whole: a longer one holds runs of REACH tokens.
+SHORT = REACH
 #: A short block of one or two words is a repeat only on so many pages; text on fewer pages may be a copy's.
 FEW_PAGES = 3
 #: The covered share of an open page that may be a copy.
@@ -239,49 +238,92 @@ def tokens_of(blocks: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarra
     return words.hashed([t for _, t, _ in blocks], lower=False) if blocks else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
 
 
-SCAN = pa.schema([("key", pa.int64()), ("who", pa.int64()), ("pos", pa.int64()), ("host", pa.int64()), ("kinds", pa.list_(pa.int8())), ("sizes", pa.list_(pa.int32())), ("links", pa.list_(pa.bool_())), ("shorts", pa.list_(pa.int64()))])
+def kept_kind(kinds: list[int]) -> int:
+    """The kind of block that a page's text is made of."""
+    return CONTENT if CONTENT in kinds else OTHER
+
+
+LEAST = pa.schema([("key", pa.int64()), ("kept", pa.bool_())])
+
+
+def shared(pages: DataFrame) -> DataFrame:
+    """(key): the least grams that several pages of a host have, one of them by a run of tokens that meets its text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.parts(batches):
+            pages_of = [blocks_of(t) for t in part.column("text").to_pylist()]
+            streams, sizes = zip(*map(tokens_of, pages_of), strict=True)
+            stream, place, _, least = every(streams, GRAM, REACH)
+            if not len(stream):
+                continue
+            of_text = [np.repeat([k == kept_kind([x for x, _, _ in b]) for k, _, _ in b], n) if b else np.zeros(0, dtype=bool) for b, n in zip(pages_of, sizes, strict=True)]
+            before = np.concatenate([[0], np.cumsum(np.concatenate(of_text))])
+            first = (np.cumsum([len(s) for s in streams]) - [len(s) for s in streams])[stream] + place
+            kept = before[first + REACH] > before[first]
+            key = least ^ part.column("host").to_numpy().view(np.uint64)[stream]
+            order = np.lexsort((~kept, key, stream))  # a page's key once, with text where it has some
+            key, stream, kept = key[order], stream[order], kept[order]
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (stream[1:] != stream[:-1])])
+            yield words.batch(LEAST, key=key[once].view(np.int64), kept=kept[once])
+
+    found = arrow_batches(pages.select("host", "text")).mapInArrow(scan, "key long, kept boolean")
+    return found.groupBy("key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 and kept").select("key")
+
+
+SCAN = pa.schema([("key", pa.int64()), ("who", pa.int64()), ("pos", pa.int64()), ("host", pa.int64()), ("kinds", pa.list_(pa.int8())), ("sizes", pa.list_(pa.int32())), ("links", pa.list_(pa.bool_()))])
 
 
-def scanned(pages: DataFrame, window: int | None = None) -> DataFrame:
-    """A row for each retained suffix, keyed by host and content; without a given window one row for each page's blocks too (key null).
+def scanned(pages: DataFrame, least: DataFrame) -> DataFrame:
+    """A row for each page's blocks (key null), and one for each place whose least gram is among ``least``, keyed by host and content.
 
-    ``shorts`` has the hash of each short block, 0 for the others.
+    No place is left out that is repeated and meets a page's text.
     """
+    held = pages.sparkSession.sparkContext.broadcast(bitmap(least))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.parts(batches):
             pages_of = [blocks_of(t) for t in part.column("text").to_pylist()]
-            declared = np.array([any(k == CONTENT for k, _, _ in b) for b in pages_of])
             streams, sizes = zip(*map(tokens_of, pages_of), strict=True)
             host, who = part.column("host").to_numpy(), part.column("who").to_numpy()
             none = lambda n: {c: pa.nulls(n, SCAN.field(c).type) for c in SCAN.names}
-            if window is None:
-                whole = [[int(run_hashes(b, len(b))[0].view(np.int64)) | 1 if 0 < len(b) < SHORT else 0 for b in np.split(s, np.cumsum(n))[:-1]] if len(n) else [] for s, n in zip(streams, sizes, strict=True)]
-                links = [[2 * l > len(t) for _, t, l in b] for b in pages_of]
-                yield words.batch(SCAN, **none(len(part)) | {"who": who, "host": host, "kinds": [[k for k, _, _ in b] for b in pages_of], "sizes": [n.tolist() for n in sizes], "links": links, "shorts": whole})
-            for at, run in ((np.flatnonzero(declared), window or WINDOW), (np.flatnonzero(~declared), OPEN_WINDOW)):
-                if len(at):
-                    stream, place, key = retained([streams[i] for i in at], GRAM, run, REACH)
-                    yield words.batch(SCAN, **none(len(key)) | {"key": (key ^ host[at[stream]].view(np.uint64)).view(np.int64), "who": who[at[stream]], "pos": place})
-
-    schema = "key long, who long, pos long, host long, kinds array<tinyint>, sizes array<int>, links array<boolean>, shorts array<long>"
+            links = [[2 * l > len(t) for _, t, l in b] for b in pages_of]
+            yield words.batch(SCAN, **none(len(part)) | {"who": who, "host": host, "kinds": [[k for k, _, _ in b] for b in pages_of], "sizes": [n.tolist() for n in sizes], "links": links})
+            stream, place, key, gram = every(streams, GRAM, REACH)
+            of_host = host.view(np.uint64)[stream]
+            at = np.flatnonzero(hits(gram ^ of_host, held.value))
+            if len(at):
+                yield words.batch(SCAN, **none(len(at)) | {"key": (key ^ of_host)[at].view(np.int64), "who": who[stream[at]], "pos": place[at]})
+
+    schema = "key long, who long, pos long, host long, kinds array<tinyint>, sizes array<int>, links array<boolean>"
     return arrow_batches(pages.select("who", "host", "text")).mapInArrow(scan, schema)
 
 
+BLOCK = pa.schema([("host", pa.int64()), ("who", pa.int64()), ("block", pa.int32()), ("hash", pa.int64())])
+
+
+def short_blocks(pages: DataFrame) -> DataFrame:
+    """(host, who, block, hash) of each block of fewer than ``SHORT`` tokens."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.parts(batches):
+            rows = []
+            for host, who, text in zip(part.column("host").to_pylist(), part.column("who").to_pylist(), part.column("text").to_pylist(), strict=True):
+                stream, sizes = tokens_of(blocks_of(text))
+                ends = np.cumsum(sizes)
+                rows += [(host, who, b, int(run_hashes(stream[ends[b] - sizes[b] : ends[b]], int(sizes[b]))[0].view(np.int64))) for b in np.flatnonzero((sizes > 0) & (sizes < SHORT))]
+            yield words.batch(BLOCK, **{c: [r[i] for r in rows] for i, c in enumerate(BLOCK.names)})
+
+    return arrow_batches(pages.select("host", "who", "text")).mapInArrow(scan, "host long, who long, block int, hash long")
+
+
 def covered(pages: DataFrame, seen: DataFrame, layouts: DataFrame) -> DataFrame:
     """(who, at, blocks): the places of a page's repeated suffixes, and its repeated short blocks, each with the number of pages that have it."""
     open_hosts = staged(layouts.where(f"not array_contains(kinds, {CONTENT}Y) and size(kinds) > 0").select("host").distinct(), "hosts")
-    suffix = seen.where("key is not null").select("key", "who", F.lit(None).cast("long").alias("doc"), "pos")
-    some = not open_hosts.isEmpty()
-    if some:  # declared pages beside open ones keep as many suffixes as these
-        more = scanned(pages.join(small(open_hosts), "host", "left_semi"), OPEN_WINDOW)
-        suffix = suffix.union(more.select("key", "who", F.lit(None).cast("long").alias("doc"), "pos")).distinct()
-    found = repeated(suffix, "repeats")
-    spread = found.select("key", "who").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    at = found.select("key", "who", "pos").join(small(staged(spread, "spread")), "key").groupBy("who").agg(F.collect_set(F.struct("pos", "n")).alias("at"))
-    if not some:
+    found = spread(seen.where("key is not null"), "repeats")
+    at = found.groupBy("who").agg(F.collect_set(F.struct("pos", "n")).alias("at"))
+    if open_hosts.isEmpty():
         return at.withColumn("blocks", F.expr("cast(array() as array<struct<block: int, n: bigint>>)"))
-    whole = layouts.join(small(open_hosts), "host", "left_semi").select("host", "who", F.posexplode("shorts").alias("block", "hash")).where("hash <> 0")
+    whole = staged(short_blocks(pages.join(small(open_hosts), "host", "left_semi")), "shorts")
     pages_of = whole.select("host", "hash", "who").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where("n > 1")
     blocks = whole.join(pages_of, ["host", "hash"]).groupBy("who").agg(F.collect_set(F.struct("block", "n")).alias("blocks"))
     return at.join(blocks, "who", "full")
@@ -296,8 +338,10 @@ def dropped(cover: DataFrame, layouts: DataFrame) -> DataFrame:
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                at = [(x["pos"], x["n"]) for x in r["at"] or ()]
+            places = batch.column("at")
+            pos, n, ends = places.values.field("pos").to_numpy(), places.values.field("n").to_numpy(), places.offsets.to_numpy()
+            for i, r in enumerate(batch.drop_columns(["at"]).to_pylist()):
+                at = list(zip(pos[ends[i] : ends[i + 1]].tolist(), n[ends[i] : ends[i + 1]].tolist(), strict=True))
                 if drop := chosen(r["kinds"], r["sizes"], r["links"], at, {x["block"]: x["n"] for x in r["blocks"] or ()}, r["host_pages"]):
                     out.append((r["who"], drop))
             yield words.batch(schema, who=[w for w, _ in out], drop=[d for _, d in out])
@@ -323,7 +367,7 @@ def chosen(kinds: list[int], sizes: list[int], links: list[bool], at: list[tuple
             part = spread[end[b] - sizes[b] : end[b]]
             np.maximum(part, n, out=part)
     declared = CONTENT in kinds
-    kept = [b for b, k in enumerate(kinds) if k == (CONTENT if declared else OTHER)]
+    kept = [b for b, k in enumerate(kinds) if k == kept_kind(kinds)]
     of = {b: spread[end[b] - sizes[b] : end[b]] for b in kept}
     total, under = sum(sizes[b] for b in kept), sum(int((x > 0).sum()) for x in of.values())
     repeats = [b for b in kept if 2 * int((of[b] > 0).sum()) >= sizes[b]]
@@ -349,8 +393,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     page, url, number = text_of(pages, "html"), pages["url"].cast("string"), pages["page_id"].cast("long")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     keyed = pages.select(number.alias("page_id"), url.alias("url"), page.alias("text"), F.xxhash64(host).alias("host"), F.xxhash64(number, url, page).alias("who"))
-    seen = staged(scanned(keyed), "scan")
-    layouts = seen.where("key is null").select("who", "host", "kinds", "sizes", "links", "shorts").dropDuplicates(["who"])
+    seen = staged(scanned(keyed, staged(shared(keyed), "least")), "scan")
+    layouts = seen.where("key is null").select("who", "host", "kinds", "sizes", "links").dropDuplicates(["who"])
     drops = staged(dropped(covered(keyed, seen, layouts), layouts), "drops")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +409,6 @@ def main_text(pages: DataFrame) -> DataFrame:
 def kept_text(page: str, drop: set[int]) -> tuple[str, int, int]:
     """A page's text, the number of its blocks, and of the dropped ones."""
     blocks = blocks_of(page)
-    kind = CONTENT if any(k == CONTENT for k, _, _ in blocks) else OTHER
+    kind = kept_kind([k for k, _, _ in blocks])
     kept = [t for i, (k, t, _) in enumerate(blocks) if k == kind and i not in drop]
     return "\n".join(kept), len(kept), len(drop)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, html_extract, licenses, near_dedup, packing, pii, quality, sharding, substring_dedup, warc
+from larder.llm import decontaminate, html_extract, licenses, near_dedup, packing, pii, quality, sharding, substring_dedup, suffixes, warc
 from tests.oracle import compare
 
 WORDS = [f"w{i}" for i in range(900)]
@@ -515,6 +515,55 @@ def test_html_repeats_decide(spark):
     assert all(got[30 + i] == f"{text(820, 40)}\n{text(830 + i, 80)}" for i in range(2))  # nor is a quoted passage
 
 
+def pages_by_search(pages):
+    """The text of each page, where every run of REACH words of a host is looked up in a plain dictionary."""
+    read = [(i, url, html_extract.blocks_of(page)) for i, url, page in pages]
+    seen = {}
+    for i, url, blocks in read:
+        words = " ".join(t for _, t, _ in blocks).split()
+        for x in [("run", *words[p : p + 20]) for p in range(len(words) - 19)] + [("block", t) for _, t, _ in blocks if len(t.split()) < 20]:
+            seen.setdefault((url, x), set()).add(i)
+    opened = {url for _, url, blocks in read if blocks and all(k != html_extract.CONTENT for k, _, _ in blocks)}
+    out = {}
+    for i, url, blocks in read:
+        words = " ".join(t for _, t, _ in blocks).split()
+        at = [(p, n) for p in range(len(words) - 19) if (n := len(seen[url, ("run", *words[p : p + 20])])) > 1]
+        short = {b: n for b, (_, t, _) in enumerate(blocks) if url in opened and len(t.split()) < 20 and (n := len(seen[url, ("block", t)])) > 1}
+        kinds, sizes, links = [k for k, _, _ in blocks], [len(t.split()) for _, t, _ in blocks], [2 * l > len(t) for _, t, l in blocks]
+        drop = html_extract.chosen(kinds, sizes, links, at, short, sum(u == url for _, u, _ in read))
+        kind = html_extract.CONTENT if html_extract.CONTENT in kinds else html_extract.OTHER
+        out[i] = "\n".join(t for b, (k, t, _) in enumerate(blocks) if k == kind and b not in drop)
+    return out
+
+
+def test_html_repeats_are_found_at_every_place(spark):
+    # repeats of 20 words, the fewest that count: at the end of articles, and inside blocks of pages that declare no content
+    feet = [(100 * h + i, f"http://f{h}.org/", f"<article><p>{text(100 * h + i, 70)}</p><p>{text(9000 + h, 20)}</p></article>") for h in range(12) for i in range(3)]
+    inner = [(5000 + 100 * h + i, f"http://i{h}.org/", f"<div>{text(5000 + 100 * h + i, 60)}</div><div>{text(9100 + h, 20)} {text(9200 + 10 * h + i, 8)}</div>") for h in range(12) for i in range(3)]
+    rng = random.Random(3)
+    mixed = []
+    for i in range(90):
+        some = [text(9500 + rng.randrange(6), rng.choice([5, 19, 20, 21, 24, 45])) if rng.random() < 0.4 else text(20_000 + 10 * i + j, rng.choice([3, 15, 30, 60])) for j in range(5)]
+        body = "".join(rng.choice(["<p>{}</p>", "<div>{}</div>", "<p><a href='x'>{}</a></p>", "<nav>{}</nav>"]).format(t) for t in some)
+        mixed.append((10_000 + i, f"http://m{i % 8}.org/", f"<article>{body}</article>" if i % 8 < 4 or i % 3 else body))
+    pages = feet + inner + mixed
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text(i, 70) for i, _, _ in feet)
+    assert all(got[i] == text(i, 60) for i, _, _ in inner)
+    assert got == pages_by_search(pages)
+
+
+def test_a_full_bitmap_loses_no_key(spark, monkeypatch):
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, 50_000)
+    other = np.random.default_rng(2).integers(-(2**63), 2**63, 50_000).view(np.uint64)
+    rows = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    held = suffixes.bitmap(rows)
+    assert suffixes.hits(keys.view(np.uint64), held).all() and suffixes.hits(other, held).mean() < 0.1
+    monkeypatch.setattr(suffixes, "MOST_BITS", 1 << 16)
+    held = suffixes.bitmap(rows)
+    assert len(held) == 1 << 13 and suffixes.hits(keys.view(np.uint64), held).all()
+
+
 def test_revisits_keep_columns_with_any_name(spark):
     pages = spark.createDataFrame([(1, "http://a.org/", "x"), (2, "http://a.org/", "y")], "page_id long, url string, html string")
     plain = warc.page_captures(pages)
