@@ -1,24 +1,28 @@
 """A user's favourites, history and profile as state of one stateful operator, for unbounded streams.
 
 Events are rows of (user_id, kind, item_id, payload, ts, event_id) where kind is
-``toggle``, ``view`` or ``profile``.  Each user has a map state (item: toggles
+``toggle``, ``view`` or ``profile``.  Each user has the favourites (item: toggles
 odd or even, and the last one), a list state (the last ``most`` different items
 viewed, newest first) and a value state (the last profile written).  All three
 merge by (ts, event_id), so late events and any split into batches give the state
-of the batch operators over all events; a user's rows are read frame by frame and
-only the items they touch are looked up.
+of the batch operators over all events.
+
+A call to the state server costs more than all else that is done for an event.
+The ``RECENT`` favourites touched last are therefore one value, read and written
+once for a user and batch; a map state has those that were touched before, each
+looked up only when it is touched again.  Under a time to live, which counts for
+each item, all of them are in the map state.
 
 State may have a time to live, counted from its last write, and may begin with a
-table of the same columns, such as :func:`snapshot` makes of past events.  The
-state store must be one of key ranges; see :func:`session_for`.
+table of the same columns, such as :func:`snapshot` makes of past events; it
+reaches the operator as rows of at most ``CHUNK`` events.  The state store must be one of key ranges; see :func:`session_for`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,7 +33,13 @@ EVENT = "user_id long, kind string, item_id long, payload string, ts timestamp,
 CHANGE = "user_id long, kind string, item_id long, pos int, favourite boolean, payload string, us long, event_id long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Favourites of a user that are one value, and past events of a user in one initial row.
+RECENT, CHUNK = 512, 1000
+
 Stamp = tuple[int, int]
+Toggled = tuple[bool, int, int]
+
+_CHANGE = Row(*(c.split()[0] for c in CHANGE.split(", ")))
 
 
 def session_for(spark: SparkSession) -> SparkSession:
@@ -49,37 +59,63 @@ class UserState(StatefulProcessor):
         self.most, self.ttl_ms = most, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getValueState("recent", "items array<long>, odd array<boolean>, us array<long>, event_id array<long>, more boolean")
         self.favourites = handle.getMapState("favourites", "item_id long", "odd boolean, us long, event_id long", self.ttl_ms)
         self.history = handle.getListState("history", "item_id long, us long, event_id long", self.ttl_ms)
         self.profile = handle.getValueState("profile", "payload string, us long, event_id long", self.ttl_ms)
 
-    def _merge(self, frames: Iterator[pd.DataFrame]) -> tuple[dict, list | None, tuple | None]:
+    def _recent(self) -> tuple[dict[int, Toggled], bool]:
+        """The favourites touched last, the newest at the end, and whether the map state may have others."""
+        if self.ttl_ms:
+            return {}, True
+        if (held := self.recent.get()) is None:
+            return {}, False
+        items, odd, us, event, more = held
+        return dict(zip(items, zip(odd, us, event, strict=True), strict=True)), more
+
+    def _older(self, item: int, more: bool) -> Toggled:
+        held = self.favourites.getValue((item,)) if more and (not self.ttl_ms or self.favourites.containsKey((item,))) else None
+        return (False, -(2**63), 0) if held is None else tuple(held)
+
+    def _keep(self, recent: dict[int, Toggled], toggled: dict[int, Toggled], more: bool) -> None:
+        """Stores the touched items; beyond RECENT the older ones go to the map state, many at a time."""
+        recent |= toggled
+        moved = list(recent) if self.ttl_ms else list(recent)[: -RECENT // 2] if len(recent) > RECENT else []
+        for item in moved:
+            self.favourites.updateValue((item,), recent.pop(item))
+        if not self.ttl_ms:
+            odd, us, event = (list(x) for x in zip(*recent.values(), strict=True))
+            self.recent.update((list(recent), odd, us, event, more or bool(moved)))
+
+    def _merge(self, rows: Iterable[Row | dict]) -> tuple[dict[int, Toggled], list | None, tuple | None]:
         """The toggled items, the history and the profile, where the rows change them; all are stored."""
-        toggled: dict[int, tuple[bool, int, int]] = {}
+        toggled: dict[int, Toggled] = {}
+        recent: dict[int, Toggled] | None = None
+        more = False
         seen: dict[int, Stamp] | None = None
         written: tuple | None = None
-        for frame in frames:
-            for kind, item, payload, us, event in zip(frame["kind"], frame["item_id"], frame["payload"], frame["us"], frame["event_id"], strict=True):
-                at = (int(us), int(event))
-                if kind == "toggle":
-                    item = int(item)
-                    if item not in toggled:
-                        toggled[item] = tuple(self.favourites.getValue((item,))) if self.favourites.containsKey((item,)) else (False, -(2**63), 0)
-                    odd, *last = toggled[item]
-                    toggled[item] = (not odd, *max(at, tuple(last)))
-                elif kind == "view":
-                    if seen is None:
-                        seen = {i: (t, e) for i, t, e in self.history.get()}
-                    seen[int(item)] = max(seen.get(int(item), at), at)
-                    if len(seen) > 2 * self.most:
-                        seen = dict(self._newest(seen))
-                elif kind == "profile":
-                    if written is None:
-                        written = tuple(self.profile.get()) if self.profile.exists() else (None, -(2**63), 0)
-                    if at >= written[1:]:
-                        written = (None if pd.isna(payload) else payload, *at)
-        for item, v in toggled.items():
-            self.favourites.updateValue((item,), v)
+        for r in rows:
+            kind, item, at = r["kind"], r["item_id"], (r["us"], r["event_id"])
+            if kind == "toggle":
+                if recent is None:
+                    recent, more = self._recent()
+                if item not in toggled:
+                    toggled[item] = recent.pop(item, None) or self._older(item, more)
+                odd, *last = toggled[item]
+                toggled[item] = (not odd, *max(at, tuple(last)))
+            elif kind == "view":
+                if seen is None:
+                    seen = {i: (t, e) for i, t, e in self.history.get()}
+                seen[item] = max(seen.get(item, at), at)
+                if len(seen) > 2 * self.most:
+                    seen = dict(self._newest(seen))
+            elif kind == "profile":
+                if written is None:
+                    written = self.profile.get() or (None, -(2**63), 0)
+                if at >= written[1:]:
+                    written = (r["payload"], *at)
+        if toggled:
+            self._keep(recent, toggled, more)
         viewed = None
         if seen is not None:
             viewed = [(i, *at) for i, at in self._newest(seen)]
@@ -91,19 +127,17 @@ class UserState(StatefulProcessor):
     def _newest(self, seen: dict[int, Stamp]) -> list[tuple[int, Stamp]]:
         return sorted(seen.items(), key=lambda x: x[1], reverse=True)[: self.most]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         toggled, viewed, written = self._merge(rows)
-        out = [("toggle", i, None, odd, None, us, e) for i, (odd, us, e) in toggled.items()]
-        out += [("view", i, pos, None, None, us, e) for pos, (i, us, e) in enumerate(viewed or (), 1)]
+        for i, (odd, us, e) in toggled.items():
+            yield _CHANGE(key[0], "toggle", i, None, odd, None, us, e)
+        for pos, (i, us, e) in enumerate(viewed or (), 1):
+            yield _CHANGE(key[0], "view", i, pos, None, None, us, e)
         if written is not None:
-            out.append(("profile", None, None, None, *written))
-        if out:
-            found = pd.DataFrame(out, columns=["kind", "item_id", "pos", "favourite", "payload", "us", "event_id"])
-            found.insert(0, "user_id", key[0])
-            yield found.astype({"item_id": "Int64", "pos": "Int32", "favourite": "boolean", "payload": "object"})
+            yield _CHANGE(key[0], "profile", None, None, None, *written)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self._merge(iter([initialState]))
+        self._merge(initialState["past"])
 
     def close(self) -> None:
         pass
@@ -115,11 +149,18 @@ def _timed(events: DataFrame) -> DataFrame:
     return known.select("user_id", "kind", "item_id", "payload", F.unix_micros("ts").alias("us"), "event_id")
 
 
+def _chunks(rows: DataFrame) -> DataFrame:
+    """A user's rows as few rows of at most ``CHUNK``: the operator is called for each row of an initial table."""
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    dealt = rows.withColumn("_chunk", F.floor((number - 1) / CHUNK))
+    return dealt.groupBy("user_id", "_chunk").agg(F.collect_list(F.struct("kind", "item_id", "payload", "us", "event_id")).alias("past")).select("user_id", "past")
+
+
 def changes(events: DataFrame, most: int = 20, ttl_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """What each batch changes, for update mode: toggled items with their membership, a changed history whole, and a written profile."""
-    held = _timed(initial).groupBy("user_id") if initial is not None else None
+    held = _chunks(_timed(initial)).groupBy("user_id") if initial is not None else None
     time = "ProcessingTime" if ttl_ms else "None"
-    return _timed(events).groupBy("user_id").transformWithStateInPandas(UserState(most, ttl_ms), CHANGE, "Update", time, initialState=held)
+    return _timed(events).groupBy("user_id").transformWithState(UserState(most, ttl_ms), CHANGE, "Update", time, initialState=held)
 
 
 def snapshot(events: DataFrame, most: int = 20) -> DataFrame:

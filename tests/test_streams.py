@@ -56,6 +56,57 @@ def test_user_state_equals_batch_over_restarts(spark, own, tmp_path, begun):
     assert got == whole(e)
 
 
+def test_user_with_more_favourites_than_one_value_holds(spark, own, tmp_path):
+    r = random.Random(5)
+    rows = [(r.randrange(2), "toggle", r.randrange(1600), None, f"2024-01-01 00:{r.randrange(60):02d}:00", i) for i in range(9000)]
+    e = spark.createDataFrame(rows, EVENT).withColumn("ts", F.col("ts").cast("timestamp"))
+    past = users.snapshot(e.where("event_id < 4000"))
+    assert past.groupBy("user_id").count().agg(F.min("count")).first()[0] > users.CHUNK > users.RECENT
+    for p in range(3):
+        e.where(f"event_id >= 4000 and event_id % 3 = {p}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = own.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = told(users.drained(stream, str(tmp_path / "out"), initial=own.createDataFrame(past.collect(), past.schema)))
+    assert got == whole(e)
+
+
+class Held:
+    """A state of one user that counts its calls."""
+
+    def __init__(self):
+        self.of, self.value, self.calls = {}, None, 0
+
+    def __getattr__(self, name):
+        forms = {"get": lambda: self.value, "exists": lambda: self.value is not None, "update": lambda v: setattr(self, "value", v), "put": lambda v: setattr(self, "value", v)}
+        forms |= {"getValue": lambda k: self.of.get(k), "containsKey": lambda k: k in self.of, "updateValue": lambda k, v: self.of.update({k: v})}
+
+        def call(*args):
+            self.calls += 1
+            return forms[name](*args)
+
+        return call
+
+
+@pytest.mark.parametrize(("recent", "ttl_ms"), [(512, None), (6, None), (512, 1000)])
+def test_a_users_batch_takes_few_calls(monkeypatch, recent, ttl_ms):
+    monkeypatch.setattr(users, "RECENT", recent)
+    states = []
+    one = lambda *_: states.append(Held()) or states[-1]
+    processor = users.UserState(20, ttl_ms)
+    processor.init(type("Handle", (), {"getValueState": one, "getMapState": one, "getListState": one}))
+    r, want, at, most = random.Random(recent), {}, 0, 0
+    for _ in range(60):
+        items = [r.randrange(100) for _ in range(r.randrange(1, 30))]
+        before = sum(s.calls for s in states)
+        told_ = list(processor.handleInputRows((1,), iter([{"kind": "toggle", "item_id": i, "payload": None, "us": at + n, "event_id": n} for n, i in enumerate(items)]), None))
+        most = max(most, sum(s.calls for s in states) - before)
+        for n, i in enumerate(items):
+            want[i] = (not want.get(i, (False,))[0], at + n, n)
+        at += len(items)
+        assert {x["item_id"]: (x["favourite"], x["us"], x["event_id"]) for x in told_} == {i: want[i] for i in items}
+    if recent == 512 and not ttl_ms:
+        assert most == 2
+
+
 def test_state_with_time_to_live_is_forgotten(spark, own, tmp_path):
     import time
 
